@@ -94,16 +94,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a list of texts, A-Z lower-cased, as
-    64-bit hashes.  ``doc[i]`` is the text of word i; ``at[i]:to[i]`` its bytes in
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or runs outside another table of ``gap``
+    bytes) of a list of texts, A-Z lower-cased, as 64-bit hashes.  ``doc[i]`` is the text of word i; ``at[i]:to[i]`` its bytes in
     ``buf``; ``base[d]`` is where text d begins in ``buf``."""
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
+    def __init__(self, texts: list[str | None], gap: np.ndarray = SPACE):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
         self.raw = raw
-        self.buf = buf = LOWER[raw] if lower else raw
-        gap = SPACE[buf]
+        self.buf = buf = LOWER[raw]
+        gap = gap[buf]
         self.at = at = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
         self.to = to = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
         lens = to - at
@@ -111,13 +111,14 @@ class Words:
         self.doc = np.searchsorted(self.base, at, "right") - 1
         self.n = len(parts)
         if not len(at):
-            self.h = np.zeros(0, np.uint64)
+            self.h = self.terms = np.zeros(0, np.uint64)
+            self.first = np.zeros(0, np.int64)
             return
         inside = np.flatnonzero(~gap)
         place = inside - np.repeat(at, lens)
         terms = BYTE[buf[inside]] * powers(int(lens.max()))[place]
-        self.h = mix(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(lens)[:-1]])))
         self.terms, self.first = terms, np.concatenate([[0], np.cumsum(lens)[:-1]])
+        self.h = mix(np.add.reduceat(terms, self.first))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k-word runs and the text of each, in order; runs never cross texts."""
