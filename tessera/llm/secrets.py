@@ -74,7 +74,9 @@ def scan(spark: SparkSession, docs: DataFrame, tmp: Scratch, owner: str = "sourc
     return found.select("row", "doc_id", "key"), base.union(said.withColumn("base", F.lit(False)))
 
 
-RANK = F.array_position(F.array(*[F.lit(k) for k in (*BASE, "live", "example")]), F.col("kind"))
+def rank() -> Column:
+    """Place of a span's kind in the order of kinds."""
+    return F.array_position(F.array(*[F.lit(k) for k in (*BASE, "live", "example")]), F.col("kind"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, tmp: Scratch) -> DataFrame:
@@ -83,7 +85,7 @@ def secrets(spark: SparkSession, docs: DataFrame, tmp: Scratch) -> DataFrame:
     text = F.concat_ws(":", "kind", "start", "end")
     per = spans.groupBy("row").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in BASE],
-        F.sort_array(F.collect_list(F.struct("start", RANK.alias("rank"), "end", "base", text.alias("text")))).alias("all"),
+        F.sort_array(F.collect_list(F.struct("start", rank().alias("rank"), "end", "base", text.alias("text")))).alias("all"),
     )
     out = rows.select("row", "doc_id").join(per, "row", "left")
     joined = lambda a: F.coalesce(F.array_join(F.transform(a, lambda x: x["text"]), ","), F.lit(""))
