@@ -171,6 +171,15 @@ class Renderer:
             # IEEE results where Spark would raise
             return f"(CASE WHEN {y} <> 0 THEN {x} / {y} WHEN {x} = 0 OR isnan({x}) THEN double('NaN') WHEN ({x} > 0) = (string({y}) NOT LIKE '-%') THEN double('Infinity') ELSE double('-Infinity') END)"
         out = f"({x} {word} {y})"
+        if t == "double" and word in ("<", "<=", ">", ">=", "=", "<>") and self.d in ("spark", "duckdb"):
+            # engines hold NaN equal to itself and above all numbers; rules do not
+            lit = [a.op == "lit" for a in n.args]
+            if word in (">", ">=") and not lit[0] or word == "=" and not any(lit):
+                out = f"({out} AND NOT isnan({x}))"
+            elif word in ("<", "<=") and not lit[1]:
+                out = f"({out} AND NOT isnan({y}))"
+            elif word == "<>" and not any(lit):
+                out = f"({out} OR isnan({x}))"
         if is_decimal(n.type) and op in ("+", "-", "*"):
             return f"CAST({out} AS decimal(18,{scale(n.type)}))"
         if n.type == "uint" and op in ("+", "-", "*") and self.spark:
