@@ -111,6 +111,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.aggregate("cut", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     marked = docs.withColumn("key", F.xxhash64("text"))
     marked = marked.withColumnRenamed("doc_id", "id_").join(cut.withColumnRenamed("key", "key_"), F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("key_")), "left")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(whole)
-    out = {"doc_id": F.col("id_"), "text": text, "n_chars": F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")}
+    marked = marked.withColumn("new_", F.when(F.col("cut").isNull(), F.col("text")).otherwise(whole))
+    counted = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("new_")).cast("long")
+    out = {"doc_id": F.col("id_"), "text": F.col("new_"), "n_chars": counted}
     return marked.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
