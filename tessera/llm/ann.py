@@ -28,6 +28,7 @@ from .kit import Scratch, mix
 
 SHARD, LINKS, BACK, NEAR = 8192, 24, 16, 64
 BEAM, STEP, QUERIES = 128, 4, 256
+PACKET = 4096  # queries that share one shipment of a shard's graph
 
 
 def build(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +146,8 @@ def nearest(spark: SparkSession, idx: DataFrame, queries: DataFrame, tmp: Scratc
     def block(batches):
         for pdf in batches:
             for _, part in pdf.groupby("dim"):
-                for i in range(0, len(part), QUERIES):
-                    p = part.iloc[i : i + QUERIES]
+                for i in range(0, len(part), PACKET):
+                    p = part.iloc[i : i + PACKET]
                     yield pd.DataFrame([{"dim": int(p["dim"].iloc[0]), "qids": p["id"].to_numpy(np.int64).tobytes(), "qs": np.array(p["v"].tolist(), np.float64).tobytes()}])
 
     blocks = tmp.park(queries.repartition("dim", F.pmod(F.xxhash64("id"), F.lit(8))).mapInPandas(block, "dim int, qids binary, qs binary"), "queries")
@@ -163,7 +164,8 @@ def nearest(spark: SparkSession, idx: DataFrame, queries: DataFrame, tmp: Scratc
                 unit = lambda a: (b := a / np.abs(a).max(1, keepdims=True)) / np.linalg.norm(b, axis=1, keepdims=True)
                 x = unit(v).astype(np.float32)
                 qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qs"]).reshape(-1, d)
-                found = search(x, links, np.frombuffer(r["upper"], np.int64), unit(q).astype(np.float32), beam)
+                upper, uq = np.frombuffer(r["upper"], np.int64), unit(q).astype(np.float32)
+                found = np.concatenate([search(x, links, upper, uq[i : i + QUERIES], beam) for i in range(0, len(uq), QUERIES)])
                 out = []
                 for i, qid in enumerate(qids):
                     nodes = found[i][found[i] >= 0][: 4 * k]

@@ -8,7 +8,7 @@ their hash.  A match is an alignment of document and item (difference of word
 positions); its slots must be consistent: each item value stands for one document
 value and the other way round, so re-parameterised questions match and chance
 fillings do not.  An item leaks into a document if windows on consistent
-alignments cover at least 0.8 of the item's distinct windows.
+alignments cover at least 0.8 of the places of the item's windows.
 
 Benchmark windows up to ``SMALL`` rows are broadcast (checked by count) to drop
 unmatched document windows where they arise; beyond that all windows are joined
@@ -103,7 +103,7 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch,
     line = ["doc_id", "key", "item_id", "shift"]
     filled = hits.select(*line, F.explode("z").alias("z")).where("z.x <> 0").select(*line, "z.x", "z.y").distinct()
     off = filled.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("n <> nx or n <> ny")
-    total = ref.groupBy("item_id").agg(F.countDistinct("h").alias("total"))
+    total = ref.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
     good = hits.join(off.select(*line), line, "left_anti").groupBy("doc_id", "key", "item_id").agg(F.countDistinct("item_at").alias("n"))
     return good.join(total, "item_id").withColumn("coverage", F.least(F.lit(1.0), F.col("n") / F.col("total"))).where(F.col("coverage") >= share).select("doc_id", "key", "item_id", "coverage")
 
