@@ -14,7 +14,7 @@ STAGES = [
     ("secret_scan", secrets.redact),
     ("bpe_encode", bpe.encode_corpus),
 ]
-#: Hashing, a fitted model and tokenizers have no SQL; tests/llm checks the stages' operators, not yet run() as a whole.
+#: Hashing, a fitted model and tokenizers have no SQL; tests/llm/test_pipeline.py checks run() against brute force.
 ORACLE_SQL = None
 
 
