@@ -1,19 +1,22 @@
 """Benchmark decontamination by canonical templates.
 
-Words are runs outside ASCII white space and punctuation, A-Z lower-cased.
+Words are runs outside ASCII white space and punctuation, case-folded.
 Numbers, units that follow a number and names (capitalised words that do not
 begin a sentence) become typed placeholders; the words they replace are slots.
 Windows of five template words of documents and benchmark items are joined on
 their hash.  A match is an alignment of document and item (difference of word
 positions); its slots must be consistent: each item value stands for one document
 value and the other way round, so re-parameterised questions match and chance
-fillings do not.  An item leaks into a document if windows on consistent
-alignments cover at least 0.8 of the places of the item's windows.
+fillings do not.  Beside them, windows of the five plain words, without
+placeholders, find copies whose capitals differ (an upper-cased passage is all
+names).  An item leaks into a document if windows of one of the two kinds, on
+consistent alignments, cover at least 0.8 of the places of the item's windows of
+that kind; its coverage is the better of the two.
 
 Benchmark windows up to ``SMALL`` rows are broadcast (checked by count) to drop
 unmatched document windows where they arise; beyond that all windows are joined
 by shuffle.  Cases: null, empty or short texts (under five words) and items have
-no windows and never match; windows of fewer than two plain words are left out;
+no windows and never match; template windows of fewer than two plain words are left out;
 repeated documents are each reported; repeated items are each reported; extra
 columns are ignored.
 """
@@ -25,19 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Scratch, blocks, checked_small, runs
+from .kit import Scratch, blocks, checked_small, mix, runs
 from .toxicity import Tokens
 
 W, SHARE, SMALL = 5, 0.8, 500_000
 UNITS = "mm cm m km in ft mi g kg mg lb lbs oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh kph meter meters metre metres litre litres liter liters gram grams kilogram kilograms mile miles inch inches foot feet degree degrees c f k w kw v a hz khz mhz ghz b kb mb gb tb"
-NUM, UNIT, NAME = (np.uint64(x) for x in (0x4E554D, 0x554E4954, 0x4E414D45))
+NUM, UNIT, NAME, PLAIN = (np.uint64(x) for x in (0x4E554D, 0x554E4954, 0x4E414D45, 0x504C41494E))
 _units = np.sort(Tokens([UNITS]).h)
 
 
-def template(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Template words and whether each is a slot."""
-    if not len(t.h):
-        return t.h, np.zeros(0, bool)
+def template(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Template words and whether each is a slot; ``h`` are the hashes of the
+    case-folded words."""
+    if not len(h):
+        return h, np.zeros(0, bool)
     digit = (t.raw[t.at] >= 48) & (t.raw[t.at] <= 57)
     upper = (t.raw[t.at] >= 65) & (t.raw[t.at] <= 90)
     # a sentence begins with the text or after . ! ? or a line end
@@ -47,30 +51,37 @@ def template(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     prev = np.concatenate([[0], t.to[:-1]])
     same = np.concatenate([[False], t.doc[1:] == t.doc[:-1]])
     opens = ~same | (marks[t.at] > marks[prev])
-    out = t.h.copy()
-    place = np.searchsorted(_units, t.h)
-    unit = same & np.concatenate([[False], digit[:-1]]) & (_units[np.minimum(place, len(_units) - 1)] == t.h)
+    out = h.copy()
+    place = np.searchsorted(_units, h)
+    unit = same & np.concatenate([[False], digit[:-1]]) & (_units[np.minimum(place, len(_units) - 1)] == h)
     name = upper & ~opens & ~unit
     out[digit], out[unit], out[name] = NUM, UNIT, NAME
     return out, digit | unit | name
 
 
-def windows(texts, ids, known=None) -> pd.DataFrame:
-    """row, at (word), h, slots (hashes of replaced words, 0 for plain words)."""
-    t = Tokens(texts)
-    words, slot = template(t)
-    h, _ = runs(words, t.doc, W)
+def windows(texts, known=None) -> pd.DataFrame:
+    """row, plain (kind of window), at (word), h, slots (of template windows:
+    hashes of replaced words, 0 for plain words)."""
+    # folding neither parts nor joins words, so both have the same ones
+    t, f = Tokens(texts), Tokens([(x or "").casefold() for x in texts])
+    words, slot = template(t, f.h)
     n = max(0, len(words) - W + 1)
-    at = np.flatnonzero(t.doc[:n] == t.doc[W - 1 :][:n]) if n else np.zeros(0, int)
-    plain = np.concatenate([[0], np.cumsum(~slot)])
-    keep = plain[at + W] - plain[at] >= 2
-    if known is not None and len(h):
-        keep &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else False
-    at, h = at[keep], h[keep]
-    d = t.doc[at]
+    whole = np.flatnonzero(t.doc[:n] == t.doc[W - 1 :][:n]) if n else np.zeros(0, int)
+    count = np.concatenate([[0], np.cumsum(~slot)])
     first = np.searchsorted(t.doc, np.arange(t.n))
-    value = np.where(slot, t.h, np.uint64(0)).view(np.int64)
-    return pd.DataFrame({"row": d, "at": at - first[d], "h": h.view(np.int64), "slots": pd.Series([value[a : a + W] for a in at], dtype=object)})
+    value = np.where(slot, f.h, np.uint64(0)).view(np.int64)
+    out = []
+    for plain in (False, True):
+        # plain windows are hashed apart from template windows of the same words
+        h = mix(runs(f.h, f.doc, W)[0] + PLAIN) if plain else runs(words, t.doc, W)[0]
+        keep = np.ones(len(h), bool) if plain else count[whole + W] - count[whole] >= 2
+        if known is not None and len(h):
+            keep &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else False
+        at, h = whole[keep], h[keep]
+        d = t.doc[at]
+        slots = [None] * len(at) if plain else [value[a : a + W] for a in at]
+        out.append(pd.DataFrame({"row": d, "plain": plain, "at": at - first[d], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)}))
+    return pd.concat(out, ignore_index=True)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch, share: float = SHARE) -> DataFrame:
@@ -80,10 +91,10 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch,
     def items(batches):
         for pdf in batches:
             for i, j in blocks(pdf["text"].tolist()):
-                w = windows(pdf["text"].tolist()[i:j], None)
-                yield w.assign(item_id=pdf["item_id"].to_numpy()[i:j][w.pop("row")])[["item_id", "at", "h", "slots"]]
+                w = windows(pdf["text"].tolist()[i:j])
+                yield w.assign(item_id=pdf["item_id"].to_numpy()[i:j][w.pop("row")])[["item_id", "plain", "at", "h", "slots"]]
 
-    ref = tmp.park(bench.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(items, "item_id long, at long, h long, slots array<long>"), "items")
+    ref = tmp.park(bench.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(items, "item_id long, plain boolean, at long, h long, slots array<long>"), "items")
     small = ref.count() <= SMALL
     known = spark.sparkContext.broadcast(np.unique(ref.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if small else None)
 
@@ -91,21 +102,22 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch,
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i, j in blocks(texts):
-                w = windows(texts[i:j], None, known.value)
+                w = windows(texts[i:j], known.value)
                 r = w.pop("row").to_numpy()
                 yield w.assign(doc_id=pdf["doc_id"].to_numpy()[i:j][r], key=pdf["key"].to_numpy()[i:j][r])[["doc_id", "key", "at", "h", "slots"]]
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     found = docs.mapInPandas(seek, "doc_id long, key long, at long, h long, slots array<long>")
-    side = ref.select("item_id", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    hits = found.join(checked_small(side) if small else side, "h").select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")).alias("z"))
-    hits = tmp.park(hits.dropDuplicates(["doc_id", "key", "item_id", "shift", "item_at"]), "hits")
-    line = ["doc_id", "key", "item_id", "shift"]
+    side = ref.select("item_id", "plain", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
+    hits = found.join(checked_small(side) if small else side, "h").select("doc_id", "key", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")).alias("z"))
+    hits = tmp.park(hits.dropDuplicates(["doc_id", "key", "item_id", "plain", "shift", "item_at"]), "hits")
+    line = ["doc_id", "key", "item_id", "plain", "shift"]
     filled = hits.select(*line, F.explode("z").alias("z")).where("z.x <> 0").select(*line, "z.x", "z.y").distinct()
     off = filled.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("n <> nx or n <> ny")
-    total = ref.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
-    good = hits.join(off.select(*line), line, "left_anti").groupBy("doc_id", "key", "item_id").agg(F.countDistinct("item_at").alias("n"))
-    return good.join(total, "item_id").withColumn("coverage", F.least(F.lit(1.0), F.col("n") / F.col("total"))).where(F.col("coverage") >= share).select("doc_id", "key", "item_id", "coverage")
+    total = ref.groupBy("item_id", "plain").agg(F.countDistinct("at").alias("total"))
+    good = hits.join(off.select(*line), line, "left_anti").groupBy("doc_id", "key", "item_id", "plain").agg(F.countDistinct("item_at").alias("n"))
+    best = good.join(total, ["item_id", "plain"]).groupBy("doc_id", "key", "item_id").agg(F.max(F.least(F.lit(1.0), F.col("n") / F.col("total"))).alias("coverage"))
+    return best.where(F.col("coverage") >= share)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

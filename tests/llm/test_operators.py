@@ -322,3 +322,11 @@ def test_decontaminate(spark):
     assert {(d, i) for d in (1, 2) for i in (7, 10)} <= pairs and not {d for d, _ in pairs} & {3, 4, 6}
     assert decontaminate.leaks(spark, documents(spark, texts).where("false"), bench, Scratch(spark, "d")).count() == 0
     assert decontaminate.leaks(spark, documents(spark, texts), bench.where("false"), Scratch(spark, "d")).count() == 0
+
+
+def test_decontaminate_folds_case(spark):
+    item = "On the table John Smith put 12 apples and 5 kg of pears before Élodie Straße left the old house"
+    texts = [(1, item.upper()), (2, f"{' '.join(words(40, 1))} {item.lower()} {' '.join(words(40, 2))}"), (3, item.swapcase()), (4, " ".join(item.upper().split()[:9]))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.leaks(spark, documents(spark, texts), bench, Scratch(spark, "d")).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(i, 7, 1.0) for i in (1, 2, 3)}
