@@ -8,8 +8,8 @@ bytes that such strings cover are removed.  Texts are laid end to end in chunks.
    equal places, and about one position in 30 is an anchor.
 2. Anchors are grouped by gram.  An anchor whose whole surroundings (what windows
    through it can reach) occurred earlier marks all its windows at once; this
-   compares 96 bits of hash.  Within a chunk such anchors are folded before they
-   move.
+   compares BLAKE2b digests of 128 bits, not bytes.  Within a chunk such anchors
+   are folded before they move.
 3. Of grams with differing surroundings one anchor for each is sent on with those
    bytes.  The suffixes from the anchors are sorted by a mergesort whose
    comparisons find the common extension by binary search over prefix
@@ -144,19 +144,17 @@ def _emit(parts: int):
             for row in pdf.itertuples():
                 c = Chunk(row.ids, row.lens, row.data)
                 at, h = c.anchors()
-                sum_ = np.zeros(len(at), U)
+                sums = []
                 for i in range(0, len(at), 20_000):
                     ctx, left, right = c.around(at[i : i + 20_000])
-                    wide = np.ascontiguousarray(ctx).view(U)  # 160 bytes are 20 numbers
-                    s = left.astype(U) << U(8) | right
-                    for k in range(wide.shape[1]):
-                        s = mix(s * BASE + wide[:, k])
-                    sum_[i : i + 20_000] = s
-                sum_ &= U(0xFFFFFFFF)
+                    wide = np.column_stack([left, right, ctx])
+                    w, raw = wide.shape[1], wide.tobytes()
+                    sums += [hashlib.blake2b(raw[k : k + w], digest_size=16).digest() for k in range(0, len(raw), w)]
+                sum_ = cat(sums, U).reshape(-1, 2)
                 did = c.ids[c.doc(at)] if len(at) else np.zeros(0, np.int64)
-                order = np.lexsort((at, did, sum_, h))
+                order = np.lexsort((at, did, sum_[:, 1], sum_[:, 0], h))
                 same = np.zeros(len(at), bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (sum_[order][1:] == sum_[order][:-1])
+                same[1:] = (h[order][1:] == h[order][:-1]) & (sum_[order][1:] == sum_[order][:-1]).all(1)
                 own = np.sort(at[order[same]])
                 first = np.sort(order[~same])
                 to = (mix(h[first]) % U(parts)).astype(np.int64)
@@ -164,7 +162,7 @@ def _emit(parts: int):
                 first, to = first[by], to[by]
                 out = []
                 for p, part in zip(*groups(to, first)):
-                    out.append((int(p), row.chunk, h[part].tobytes(), sum_[part].astype("<u4").tobytes(), did[part].tobytes(), at[part].astype("<u4").tobytes(), b""))
+                    out.append((int(p), row.chunk, h[part].tobytes(), sum_[part].tobytes(), did[part].tobytes(), at[part].astype("<u4").tobytes(), b""))
                 if len(own):
                     out.append((int(row.chunk % parts), row.chunk, b"", b"", b"", b"", own.astype("<u4").tobytes()))
                 yield pd.DataFrame(out, columns=["part", "chunk", "h", "c", "did", "at", "own"])
@@ -185,12 +183,12 @@ def cat(col, dtype) -> np.ndarray:
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of each gram: anchors whose surroundings came earlier (full), and, where
     surroundings differ, the first anchor of each (check)."""
-    h, c, did, at = cat(pdf["h"], U), cat(pdf["c"], "<u4"), cat(pdf["did"], np.int64), cat(pdf["at"], "<u4")
+    h, c, did, at = cat(pdf["h"], U), cat(pdf["c"], U).reshape(-1, 2), cat(pdf["did"], np.int64), cat(pdf["at"], "<u4")
     chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) // 8 for x in pdf["h"]])
-    order = np.lexsort((at, chunk, did, c, h))
+    order = np.lexsort((at, chunk, did, c[:, 1], c[:, 0], h))
     h, c, chunk, at = h[order], c[order], chunk[order], at[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-    new = new_h | np.concatenate([[True], c[1:] != c[:-1]])[: len(h)]
+    new = new_h | np.concatenate([[True], (c[1:] != c[:-1]).any(1)])[: len(h)]
     kinds = np.bincount(np.cumsum(new_h) - 1, new) if len(h) else np.zeros(0)
     many = kinds[np.cumsum(new_h) - 1] > 1 if len(h) else np.zeros(0, bool)
     out = [(int(r.chunk), r.own, b"") for r in pdf.itertuples() if len(r.own)]

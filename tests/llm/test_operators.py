@@ -330,3 +330,11 @@ def test_decontaminate_folds_case(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = decontaminate.leaks(spark, documents(spark, texts), bench, Scratch(spark, "d")).collect()
     assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(i, 7, 1.0) for i in (1, 2, 3)}
+
+
+def test_suffix_tells_surroundings_apart(spark):
+    # surroundings of one gram that agree in the low 32 bits of the mixed hash once used
+    gram, around = "dnpezvinuluzrvjwhntzwcgqsijyheavqeiudshn", ("00181632", "00218145")
+    texts = [(i, "." * 52 + x + gram + x + "." * 52) for i, x in enumerate(around)]
+    got = suffix.repeats(spark, documents(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, 160, 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts]
