@@ -3,9 +3,11 @@
 Base spans are found by pattern (leftmost, non-overlapping per kind; a match that
 fails its length test is dropped).  Candidate values - what an assignment
 assigns, access keys, hexadecimal runs and further long mixed tokens - are
-hashed and counted over the corpus by distinct documents, repositories and
-owners.  A value copied among several owners is an example; one held by a single
-owner is live-looking.  The method adds spans of the candidates' values, kinds
+hashed and counted over the corpus by distinct owners and repositories (an
+owner's repository; copies within one repository count once).  A value copied
+among ``OWNERS`` owners is an example, and so is one of fewer owners, two at
+least, that is in ``OWNERS`` repositories an owner on average.  Every other value
+is live-looking.  The method adds spans of the candidates' values, kinds
 ``example`` and ``live``; base spans stay.  Positions are code points.
 
 Positions come from splitting at the pattern: gap lengths and match lengths,
@@ -33,7 +35,7 @@ BASE = {
     "hex": r"[0-9a-f]{16,}",
 }
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 OWNERS = 3  # owners from which on a value counts as a widely copied example
 
 
@@ -66,10 +68,11 @@ def scan(spark: SparkSession, docs: DataFrame, tmp: Scratch, owner: str = "sourc
     # the value is the end of its match
     each = each.where(size >= least).select("row", "owner", "repo", "kind", "start", "end", (F.col("end") - F.length("value")).alias("from"), F.sha2("value", 256).alias("value"))
     each = tmp.park(each, "each")
-    held = each.groupBy("value", "owner", "repo").agg(F.countDistinct("row").alias("docs"))
-    held = held.groupBy("value").agg(F.countDistinct(F.coalesce(F.concat(F.lit("="), "owner"), F.lit("-"))).alias("owners"), F.count(F.lit(1)).alias("repos"), F.sum("docs").alias("docs"))
-    label = F.when(F.col("owners") >= OWNERS, "example").when(F.col("owners") == 1, "live")
-    said = each.join(held, "value").select("row", label.alias("kind"), F.col("from").alias("start"), "end").where("kind is not null").distinct()
+    held = each.select("value", "owner", "repo").distinct()
+    held = held.groupBy("value").agg(F.countDistinct(F.coalesce(F.concat(F.lit("="), "owner"), F.lit("-"))).alias("owners"), F.count(F.lit(1)).alias("repos"))
+    wide = (F.col("owners") >= OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= OWNERS * F.col("owners")))
+    label = F.when(wide, "example").otherwise("live")
+    said = each.join(held, "value").select("row", label.alias("kind"), F.col("from").alias("start"), "end").distinct()
     base = each.where(F.col("kind").isin(*BASE)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     return found.select("row", "doc_id", "key"), base.union(said.withColumn("base", F.lit(False)))
 

@@ -338,3 +338,14 @@ def test_suffix_tells_surroundings_apart(spark):
     texts = [(i, "." * 52 + x + gram + x + "." * 52) for i, x in enumerate(around)]
     got = suffix.repeats(spark, documents(spark, texts)).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(i, 160, 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts]
+
+
+def test_secrets_of_few_owners(spark):
+    two, wide, late = "q7" * 12, "z9" * 12, "Ab" * 30 + "7"
+    rows = [(1, f"x {two} y", "en", "s1"), (2, two, "en", "s2"), (3, late, "en", "s1"), (4, "7" * 60 + "x", "en", "s1")]
+    rows += [(10 + i, wide, lang, f"s{i % 2}") for i, lang in enumerate("a a b b c c".split())]
+    docs = spark.createDataFrame([(i, t, lang, source, len(t), "k", "r") for i, t, lang, source in rows], DOCS)
+    spans = {r.doc_id: r.spans for r in secrets.secrets(spark, docs, Scratch(spark, "s")).collect()}
+    assert spans == {1: "live:2:26", 2: "live:0:24", 3: "live:0:61", 4: "hex:0:60,live:0:60,live:0:61"} | {10 + i: "example:0:24" for i in range(6)}
+    out = {r.doc_id: r.text for r in secrets.redact(spark, docs, "").collect()}
+    assert out == {1: "x [SECRET] y", **dict.fromkeys((2, 3, 4), "[SECRET]")} | {10 + i: wide for i in range(6)}
