@@ -4,22 +4,29 @@ connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # ------------------------------------------------------------------ storage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one; a folder of our own otherwise (local runs, tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir.  Where it is
+    unset, a folder of our own, in one-process runs only (tests); a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -53,6 +60,21 @@ class Scratch:
                 self.made.remove(path)
 
 
+def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` whose 64-bit integers stay integers beside nulls (``Int64``
+    columns, ``pd.NA``): pandas' own would turn a batch with a null id to floats,
+    which cannot tell ids over 2**53 apart."""
+    want = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(want)
+
+    def inner(batches):
+        given = (b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches)
+        for out in run(given):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(inner, want)
+
+
 #: Rows of a slim table (two or three longs) up to which a join may broadcast it: under 10 MB.
 SMALL_ROWS = 100_000
 
