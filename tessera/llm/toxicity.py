@@ -9,8 +9,10 @@ is fitted by gradient ascent on the exact conditional likelihood over windows of
 tokens; forward-backward marginals of whole texts give spans and, through a
 one-variable logistic fit, the document's score.
 
-Fitting reads a bounded sample of labelled rows (``SAMPLE`` of each class, texts
-of at most ``LONGEST`` characters); scoring reads every whole text.  Cases:
+Fitting reads a bounded sample of labelled rows: ``SAMPLE`` ids of each class, texts
+of at most ``LONGEST`` characters, one text an id, and of their tokens at most
+``WINDOWS`` training windows round toxic and clean ones.  Scoring reads every whole
+text, however long, in one piece.  Cases: an empty table of documents gives no rows;
 null or empty text scores as a text without toxic tokens; no labelled rows, or
 one class only, gives a model that scores everything 0; repeated rows are scored
 each; labels, lang, source and doc_id are no features.
@@ -20,13 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kit
-from .kit import Words, blocks, mix, shingle_sets
+from .kit import Words, blocks, frames, mix, shingle_sets
 
-SAMPLE, LONGEST = 2500, 20_000
+SAMPLE, LONGEST, WINDOWS = 2500, 20_000, (6000, 9000)
 BITS = 20  # of a feature's hash, to rule out most unknown features by one look-up
 PREFIXES = (4, 5, 6)
 CUT = 0.7
@@ -143,7 +146,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Model:
     f = t.features()
     # token labels from document counts of features
     names, f = np.unique(f, return_inverse=True)
-    f = f.reshape(len(t.h), -1)
+    f = f.reshape(len(t.h), -1).astype(np.int32)
     bad, all_ = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
     for c in range(f.shape[1]):
         seen = np.unique(t.doc.astype(np.int64) * len(names) + f[:, c])
@@ -161,7 +164,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Model:
     clean = np.flatnonzero(~toxic[t.doc])
     if not len(hit):
         return model
-    mid = np.concatenate([rng.permutation(hit)[:6000], rng.choice(clean, min(9000, len(clean)), replace=False)])
+    mid = np.concatenate([rng.permutation(hit)[: WINDOWS[0]], rng.choice(clean, min(WINDOWS[1], len(clean)), replace=False)])
     at = np.clip(mid[:, None] + np.arange(-SIDE, SIDE + 1), 0, len(y) - 1)
     ok = t.doc[at] == t.doc[mid][:, None]
     fx, yy = f[at], y[at] & ok
@@ -230,14 +233,18 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Model:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of each class outside the held-out third."""
-    lab = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    lab = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).alias("toxic"))
+    docs = docs.where(F.length("text") <= LONGEST).select(F.col("doc_id").cast("long"), "text")
+    # ids first, so that no text is shuffled; rows of one id are one text each
+    here = lab.distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
     few = None
     for kind in (True, False):
-        part = lab.where(F.col("toxic") == kind).join(docs.where(F.length("text") <= LONGEST).select("doc_id", "text"), "doc_id").select("doc_id", "toxic", "text")
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = here.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         few = part if few is None else few.union(part)
-    few = few.toPandas()
-    return fit(few["text"].tolist(), few["toxic"].to_numpy(bool)) if len(few) else Model()
+    # at most 2 * sample ids, so the broadcast is bounded
+    found = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = found.orderBy(~F.col("toxic"), F.xxhash64("doc_id"), "doc_id").toPandas()
+    return fit(found["text"].tolist(), found["toxic"].to_numpy(bool)) if len(found) else Model()
 
 
 def _score(model, spans: bool):
@@ -264,8 +271,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, key (hash of the text), score, spans (byte offsets in UTF-8 of
     offending tokens with their marginals), one row per input row."""
     given = spark.sparkContext.broadcast(model)  # 4 MB, whatever the data
-    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return docs.mapInPandas(_score(given, True), "doc_id long, key long, score double, spans array<struct<start:long,end:long,p:double>>")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    return frames(docs, _score(given, True), "doc_id long, key long, score double, spans array<struct<start:long,end:long,p:double>>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,10 +288,11 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     given = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for pdf in batches:
-            for i, j in blocks(pdf["text"].tolist(), 4_000_000):
-                part = pdf.iloc[i:j]
-                s, _, _ = given.value.scores(part["text"].tolist())
-                yield part[s < CUT]
+        # whole Arrow rows pass or go, so no other column is touched
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, j in blocks(texts, 4_000_000):
+                s, _, _ = given.value.scores(texts[i:j])
+                yield batch.slice(i, j - i).filter(pa.array(s < CUT))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
