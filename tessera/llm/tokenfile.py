@@ -2,198 +2,225 @@
 
 A file is a run of blocks, each followed by a line feed.  A block is::
 
-    b"TOK1"  u32 documents  u32 ids  u32 lanes  u32 size  u32 crc32 of the rest
+    b"TOK2"  u32 documents  u32 ids  u32 lanes  u32 size  u32 crc32 of the rest
     documents x (i64 doc_id, u8 null doc_id, u32 ids in this block, u8 goes on)
     lanes x u16 words, then their words (u16)
 
 Its ids form ``lanes`` equal stretches, each coded by a range coder of its own; the
 coders advance in step, so that one array operation codes an id of every lane.
-Two predicted ids - from the last two ids (order 2) and the last id (order 1) -
-and the counts of ids so far (order 0) are mixed: a three-way event, adaptive by
-the confidence of both predictions, tells which holds, and if neither, the id is
-coded by order-0 frequency.  All tables start anew in each block and learn every
-``STEP`` ids.
-
-Cases: null text is empty and has the end id only; an empty table gives no rows;
-equal doc_ids are ordered by text; null doc_ids come first; a document may span
-blocks, never files; extra columns are ignored.
+An id's probability is a mixture of three models: the order-0 frequencies of ids so
+far, all mass on the id that last followed the id before it (order 1), and all mass
+on the one that last followed the two before it (order 2).  The mixture's weights
+are learned for each pair of confidences of both predictions.  All tables start anew
+in each block, and learn after 1, 2, 4, ... ids of a lane, then every ``STEP``.
+
+Files hold what a range of ``PART`` input bytes gives, so that readers, which take
+files whole, have bounded work.  Cases: null text is empty and has the end id only;
+an empty table gives no rows; equal doc_ids are ordered by text; null doc_ids come
+first; a document may span blocks, never files (so one document's ids must fit in a
+worker); repeated rows are written each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
-from .kit import Scratch, blocks, checked_small
+from .bpe import byte_letters, vocabulary
+from .kit import Scratch, blocks, checked_small, frames
+
+SPACE = re.compile(r"[\x09-\x0D\x20]+")
 
 HEAD = struct.Struct("<4s5I")
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4"), ("more", "u1")])
-IDS, LANES, STEP = 1 << 20, 4096, 16
-U = np.uint64
-TOP, BOT, MASK = U(1 << 32), U(1 << 24), U((1 << 48) - 1)
+IDS, LANES, STEP = 1 << 20, 4096, 32
+PART = 64 << 20  # bytes of stored input a file
+SHIFT0, SHARES = 20, 64  # an order-0 total of 1 << SHIFT0; weights of models are 64ths
+TOTAL = SHIFT0 + SHARES.bit_length() - 1
+BITS, WORD = 48, 16  # of a coder's state and of what it puts out
+LEAST, MASK = 1 << BITS - WORD, (1 << BITS) - 1
 
 
 class Mixer:
-    """Predictions and frequencies of one block, the same for writer and reader."""
+    """The models of one block and their mixture, the same for writer and reader.
+    A prediction's table holds id + (confidence << 16)."""
 
     def __init__(self):
-        self.p1, self.c1 = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.p2, self.c2 = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.events = np.tile(np.array([1, 1, 2]), (16, 1))
-        self.count = np.ones(1 << 16, np.int64)
+        self.last1, self.last2 = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+        self.right = np.tile(np.array([2, 1, 1]), (32, 1))  # by context: neither right, order 1, order 2
+        self.count = np.zeros(1 << 16, np.int64)
         self.refresh()
 
     def refresh(self):
-        while self.count.sum() > 1 << 20:
-            self.count = (self.count + 1) >> 1
-        self.cum = np.concatenate([[0], np.cumsum(self.count)])
-        while self.events.sum(1).max() > 1 << 16:
-            self.events = (self.events + 1) >> 1
-        self.ecum = np.concatenate([np.zeros((16, 1), np.int64), np.cumsum(self.events, 1)], 1)
+        free = (1 << SHIFT0) - (1 << 16)
+        freq = 1 + self.count * free // max(1, self.count.sum())
+        freq[freq.argmax()] += (1 << SHIFT0) - freq.sum()
+        self.freq = freq
+        self.both = (np.cumsum(freq) - freq) << 21 | freq  # place and size in one
+        share = self.right * (SHARES - 3) // self.right.sum(1, keepdims=True) + 1
+        share[1::2, 2] += share[1::2, 1]  # both predict the same id
+        share[1::2, 1] = 0
+        self.mass1, self.mass2 = share[:, 1] << SHIFT0, share[:, 2] << SHIFT0
+        self.share0 = SHARES - share[:, 1] - share[:, 2]
 
     @staticmethod
-    def hash2(b, a):
+    def key(b, a):
         return ((b * 40503 + a) * 2654435761 >> 8) & 0x3FFFF
 
     def guess(self, b, a):
-        """Predicted ids of orders 2 and 1 after ids b, a, and the event's context."""
-        h = self.hash2(b, a)
-        return self.p2[h], self.p1[a], self.c2[h] * 4 + self.c1[a]
-
-    def learn(self, b, a, x, context, event):
-        for p, c, k in ((self.p2, self.c2, self.hash2(b, a)), (self.p1, self.c1, a)):
-            hit = p[k] == x
-            c[k[hit]] = np.minimum(c[k[hit]] + 1, 3)
-            miss = k[~hit]
-            p[miss], c[miss] = x[~hit], 0
-        self.events += 8 * np.bincount(context * 3 + event, minlength=48).reshape(16, 3)
-        self.count += 24 * np.bincount(x[event == 2], minlength=1 << 16)
+        """After ids b, a: ids predicted by orders 1 and 2, and the context."""
+        g1, g2 = self.last1[a], self.last2[self.key(b, a)]
+        p1, p2 = g1 & 0xFFFF, g2 & 0xFFFF
+        return p1, p2, (g2 >> 16) * 8 + (g1 >> 16) * 2 + (p1 == p2)
+
+    def shares(self, context):
+        return self.share0[context], self.mass1[context], self.mass2[context]
+
+    def interval(self, y, p1, p2, w, m1, m2):
+        """Place and size of id y in the mixture's cumulative distribution."""
+        both = self.both[y]
+        return w * (both >> 21) + m1 * (y > p1) + m2 * (y > p2), w * (both & 0x1FFFFF) + m1 * (y == p1) + m2 * (y == p2)
+
+    def symbols(self):
+        """Id by place in the order-0 distribution."""
+        return np.repeat(np.arange(1 << 16, dtype=np.int32), self.freq)
+
+    def find(self, v, p1, p2, w, m1, m2, symbols):
+        """The id whose interval holds v."""
+        at1, size1 = self.interval(p1, p1, p2, w, m1, m2)
+        at2, size2 = self.interval(p2, p1, p2, w, m1, m2)
+        past1, past2 = at1 + size1, at2 + size2
+        # exact, as both are under 2**32; ids of predictions are put right below
+        y = symbols.take(((v - m1 * (v >= past1) - m2 * (v >= past2)) / w).astype(np.int64), mode="clip")
+        y = np.where((v >= at1) & (v < past1), p1, y)
+        return np.where((v >= at2) & (v < past2), p2, y)
+
+    def learn(self, b, a, y, p1, p2, context):
+        for table, k in ((self.last2, self.key(b, a)), (self.last1, a)):
+            now = table[k]
+            sure = now >> 16
+            hit = now & 0xFFFF == y
+            table[k] = np.where(hit, y | np.minimum(sure + 1, 3) << 16, np.where(sure > 0, now - (1 << 16), y))
+        which = np.where(y == p2, 2, np.where(y == p1, 1, 0))
+        self.right += np.bincount(context * 3 + which, minlength=96).reshape(32, 3)
+        self.count += np.bincount(y, minlength=1 << 16)
         self.refresh()
 
 
 class Coder:
-    """Range coders in step, with 48-bit bounds and 16-bit output words."""
+    """Range coders in step: each lane has an interval of at most 2**48 and puts
+    out words of 16 bits.  The writer's carries are added to words put out before
+    and settled at the end."""
 
     def __init__(self, lanes: int, words: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, MASK)
-        self.pos = np.zeros(lanes, np.int64)
-        self.words = np.zeros((lanes, 64), np.uint16) if words is None else words
-        self.rows = np.arange(lanes)
-        self.code = None
-        if words is not None:
-            self.code = np.zeros(lanes, U)
-            for _ in range(3):
-                self.code = self.code << U(16) | self.next(self.rows)
-
-    def next(self, at):
-        w = self.words[at, self.pos[at]].astype(U)
-        self.pos[at] += 1
-        return w
-
-    def narrow(self, at, lo, n, r):
-        """Lanes ``at`` take the interval from ``lo`` of ``n`` units ``r``."""
-        low = self.low[at] + lo.astype(U) * r
-        size = r * n.astype(U)
-        while True:
-            same = (low ^ (low + size)) < TOP
-            cut = ~same & (size < BOT)
-            size[cut] = (U(0) - low[cut]) & (BOT - U(1))
-            go = np.flatnonzero(same | cut)
-            if not len(go):
-                break
-            lane = at[go]
-            if self.code is None:
-                if self.pos[lane].max() + 4 > self.words.shape[1]:
-                    self.words = np.hstack([self.words, np.zeros_like(self.words)])
-                self.words[lane, self.pos[lane]] = (low[go] >> U(32)).astype(np.uint16)
-                self.pos[lane] += 1
+        self.range, self.pos, self.rows = np.full(lanes, MASK), np.zeros(lanes, np.int64), np.arange(lanes)
+        self.low = np.zeros(lanes, np.int64)  # the reader's: code less low
+        self.words = np.zeros((64, lanes), np.int64) if words is None else words
+        self.writes = words is None
+        if not self.writes:
+            for _ in range(BITS // WORD):
+                self.low = self.low << WORD | self.words[self.pos, self.rows]
+                self.pos += 1
+
+    def narrow(self, at, size):
+        """To the interval from ``at`` of 2**TOTAL, of ``size``."""
+        unit = self.range >> TOTAL
+        if self.writes:
+            self.low += unit * at
+            over = np.flatnonzero(self.low > MASK)
+            self.words[self.pos[over] - 1, over] += 1
+            self.low[over] &= MASK
+        else:
+            self.low -= unit * at
+        self.range = unit * size
+        while len(few := np.flatnonzero(self.range < LEAST)):
+            pos, low = self.pos[few], self.low[few]
+            if self.writes:
+                if pos.max() + 2 > len(self.words):
+                    self.words = np.vstack([self.words, np.zeros_like(self.words)])
+                self.words[pos, few] = low >> BITS - WORD
+                self.low[few] = low << WORD & MASK
             else:
-                self.code[lane] = (self.code[lane] << U(16) | self.next(lane)) & MASK
-            low[go] = low[go] << U(16) & MASK
-            size[go] = size[go] << U(16)
-        self.low[at], self.range[at] = low, size
-
-    def put(self, at, lo, n, total):
-        self.narrow(at, lo, n, self.range[at] // total)
-
-    def seek(self, at, total):
-        """Unit in which the code of each lane lies, and the unit's size."""
-        r = self.range[at] // total
-        return np.minimum((self.code[at] - self.low[at]) // r, total - U(1)).astype(np.int64), r
-
-    def close(self):
-        for k in (32, 16, 0):
-            if self.pos.max() + 1 > self.words.shape[1]:
-                self.words = np.hstack([self.words, np.zeros_like(self.words)])
-            self.words[self.rows, self.pos] = (self.low >> U(k)).astype(np.uint16)
-            self.pos += 1
+                self.low[few] = low << WORD | self.words[pos, few]
+            self.pos[few] = pos + 1
+            self.range[few] <<= WORD
+
+    def seek(self):
+        """Where in 2**TOTAL each lane's code lies; exact, as both numbers are under 2**49."""
+        return np.minimum(self.low / (self.range >> TOTAL), (1 << TOTAL) - 1).astype(np.int64)
+
+    def close(self) -> np.ndarray:
+        """Words by place and lane; the reader takes those past a lane's end as zeros."""
+        if self.pos.max() + 2 > len(self.words):
+            self.words = np.vstack([self.words, np.zeros_like(self.words)])
+        # one word more picks the only multiple of 2**32 that the interval must hold
+        self.words[self.pos, self.rows] = (self.low + LEAST - 1) >> BITS - WORD
+        self.pos += 1
+        for i in range(len(self.words) - 1, 0, -1):
+            self.words[i - 1] += self.words[i] >> WORD
+            self.words[i] &= (1 << WORD) - 1
+        return self.words
+
+
+def steps(width: int):
+    """Stretches of columns after which the models learn."""
+    at, size = 0, 1
+    while at < width:
+        yield at, min(width, at + size)
+        at, size = at + size, min(STEP, 2 * size)
 
 
 def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
     n = len(ids)
     lanes = min(LANES, max(1, n // 256))
     width = -(-n // lanes)
-    x = np.zeros((lanes, width + 2), np.int64)
-    x[:, 2:].flat[:n] = ids
-    if n < lanes * width:
-        full = np.zeros(lanes * width, np.int64)
-        full[:n] = ids
-        x[:, 2:] = full.reshape(lanes, width)
+    full = np.zeros(lanes * width, np.int32)
+    full[:n] = ids
+    x = np.zeros((width + 2, lanes), np.int32)
+    x[2:] = full.reshape(lanes, width).T
     m, c = Mixer(), Coder(lanes)
-    for t in range(0, width, STEP):
-        e = min(width, t + STEP)
-        b, a, y = x[:, t:e], x[:, t + 1 : e + 1], x[:, t + 2 : e + 2]
-        p2, p1, context = m.guess(b, a)
-        event = np.where(y == p2, 0, np.where(y == p1, 1, 2))
-        lo, fr, tot = m.ecum[context, event], m.events[context, event], m.ecum[context, 3].astype(U)
-        ylo, yfr, ytot = m.cum[y], m.count[y], U(m.cum[-1])
+    for t, e in steps(width):
+        b, a, y = x[t:e].astype(np.int64), x[t + 1 : e + 1], x[t + 2 : e + 2]
+        p1, p2, context = m.guess(b, a)
+        at, size = m.interval(y, p1, p2, *m.shares(context))
         for j in range(e - t):
-            c.put(c.rows, lo[:, j], fr[:, j], tot[:, j])
-            at = np.flatnonzero(event[:, j] == 2)
-            if len(at):
-                c.put(at, ylo[at, j], yfr[at, j], ytot)
-        m.learn(b.ravel("F"), a.ravel("F"), y.ravel("F"), context.ravel("F"), event.ravel("F"))
-    c.close()
-    return lanes, c.pos.astype("<u2").tobytes() + b"".join(c.words[i, : c.pos[i]].astype("<u2").tobytes() for i in range(lanes))
+            c.narrow(at[j], size[j])
+        m.learn(b.ravel(), a.ravel(), y.ravel(), p1.ravel(), p2.ravel(), context.ravel())
+    words = c.close()
+    return lanes, c.pos.astype("<u2").tobytes() + b"".join(words[: c.pos[i], i].astype("<u2").tobytes() for i in range(lanes))
 
 
 def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
     size = np.frombuffer(data, "<u2", lanes).astype(np.int64)
     flat = np.frombuffer(data, "<u2", offset=2 * lanes)
-    words = np.zeros((lanes, int(size.max()) + 4), np.uint16)
+    words = np.zeros((lanes, int(size.max()) + 4), np.int64)
     words[np.arange(words.shape[1]) < size[:, None]] = flat
     width = -(-n // lanes)
-    x = np.zeros((lanes, width + 2), np.int64)
-    m, c = Mixer(), Coder(lanes, words)
-    context, event = np.zeros((lanes, STEP), np.int64), np.zeros((lanes, STEP), np.int64)
-    for t in range(0, width, STEP):
-        e = min(width, t + STEP)
-        total = U(m.cum[-1])
-        for j in range(e - t):
-            p2, p1, k = m.guess(x[:, t + j], x[:, t + j + 1])
-            v, r = c.seek(c.rows, m.ecum[k, 3].astype(U))
-            ev = (v >= m.ecum[k, 1]).astype(np.int64) + (v >= m.ecum[k, 2])
-            c.narrow(c.rows, m.ecum[k, ev], m.events[k, ev], r)
-            y = np.where(ev == 0, p2, p1)
-            at = np.flatnonzero(ev == 2)
-            if len(at):
-                v, r = c.seek(at, total)
-                y[at] = got = np.searchsorted(m.cum, v, "right") - 1
-                c.narrow(at, m.cum[got], m.count[got], r)
-            x[:, t + j + 2], context[:, j], event[:, j] = y, k, ev
-        f = lambda z: z.ravel("F")
-        m.learn(f(x[:, t:e]), f(x[:, t + 1 : e + 1]), f(x[:, t + 2 : e + 2]), f(context[:, : e - t]), f(event[:, : e - t]))
-    return x[:, 2:].ravel()[:n]
+    x = np.zeros((width + 2, lanes), np.int32)
+    m, c = Mixer(), Coder(lanes, np.ascontiguousarray(words.T))
+    for t, e in steps(width):
+        symbols, seen = m.symbols(), []
+        for j in range(t, e):
+            p1, p2, context = m.guess(x[j].astype(np.int64), x[j + 1])
+            seen.append((p1, p2, context))
+            shares = m.shares(context)
+            x[j + 2] = y = m.find(c.seek(), p1, p2, *shares, symbols)
+            c.narrow(*m.interval(y, p1, p2, *shares))
+        p1, p2, context = (np.concatenate(z) for z in zip(*seen))
+        m.learn(x[t:e].astype(np.int64).ravel(), x[t + 1 : e + 1].ravel(), x[t + 2 : e + 2].ravel(), p1, p2, context)
+    return x[2:].T.ravel()[:n]
 
 
 def pack(docs: list[tuple], ids: np.ndarray) -> bytes:
@@ -201,7 +228,7 @@ def pack(docs: list[tuple], ids: np.ndarray) -> bytes:
     table = np.array([(0 if d is None else d, d is None, n, more) for d, n, more in docs], DOCS).tobytes()
     lanes, body = encode_ids(ids)
     rest = table + body
-    return HEAD.pack(b"TOK1", len(docs), len(ids), lanes, len(rest), zlib.crc32(rest)) + rest
+    return HEAD.pack(b"TOK2", len(docs), len(ids), lanes, len(rest), zlib.crc32(rest)) + rest
 
 
 def unpack(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,82 +236,74 @@ def unpack(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     while at < len(data):
         magic, nd, n, lanes, size, crc = HEAD.unpack_from(data, at)
         rest = data[at + HEAD.size : at + HEAD.size + size]
-        if magic != b"TOK1" or len(rest) != size or zlib.crc32(rest) != crc:
+        if magic != b"TOK2" or len(rest) != size or zlib.crc32(rest) != crc:
             raise ValueError(f"damaged block at byte {at}")
         yield np.frombuffer(rest, DOCS, nd), decode_ids(n, lanes, rest[nd * DOCS.itemsize :])
         at += HEAD.size + size + 1
 
 
-#: fixed value: what the tokenizer takes as one piece
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# characters that every version of Unicode classes alike: ASCII, Latin, dashes and quotes
+USUAL = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028)]
+ODD = re.compile(f"[^\\x09-\\x0D\\x20{''.join(re.escape(chr(c)) for c in USUAL)}]|<\\|")  # <| may open a special token
+
+
+def _class(kind: str) -> str:
+    # lower-casing U+0130 leaves U+0307
+    return "".join(re.escape(chr(c)) for c in [*USUAL, 0x307] if unicodedata.category(chr(c)).startswith(kind))
 
 
-#: words of letters and signs that every version of Unicode classes alike
-USUAL = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027]+")
+#: fixed value: what the tokenizer takes as one piece, within the usual characters
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
 class Encoder:
     """The tokenizers library, asked once for each distinct piece.  The tokenizer
-    drops white space and joins nothing across it, so pieces go to it as one
-    text; the last id of a piece, and no other, is that of a word's end."""
+    lower-cases, parts texts into pieces, drops white space, and joins nothing over
+    the ends of pieces; so pieces go to its model one by one.  Words with other
+    characters than the usual ones, or with what may be a special token, go to the
+    tokenizer whole; they are known by a space and themselves."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        vocab = self.t.get_vocab()
-        if max(vocab.values()) >= 1 << 16:
+        self.model = self.t.model
+        if max(self.t.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids of over 16 bits")
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) > 600_000:
-            self.words.clear()
-        if len(self.pieces) > 400_000:
-            self.pieces.clear()
-        cut = {}
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            if b"<|" in w or not USUAL.fullmatch(s):  # may hold a special token; other scripts, odd white space
-                self.words[w] = np.array(self.t.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.known: dict[str, bytes] = {}
+        self.most = most  # pieces known at once, some 160 bytes each
+
+    def ids(self, piece: str) -> bytes:
+        if piece[0] == " ":
+            return array("H", self.t.encode(piece[1:], add_special_tokens=False).ids).tobytes()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        if not ODD.search(text):
+            return PIECE.findall(text.lower())
+        out = []
+        for w in SPACE.split(text):
+            if ODD.search(w):
+                out.append(" " + w)
             else:
-                cut[w] = PIECE.findall(s.lower() if w.isascii() else self.t.normalizer.normalize_str(s))
-        new = list({p for c in cut.values() for p in c} - self.pieces.keys())
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            ids = np.array(self.t.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(some):  # some piece is not kept whole alone
-                for p in some:
-                    ids = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u2")
-                    self.pieces[p] = ids.tobytes() if self.ends[ids].sum() == 1 else None
-                continue
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, (2 * at).tolist()):
-                self.pieces[p] = raw[begin:end]
-                begin = end
-        get = self.pieces.__getitem__
-        for w, c in cut.items():
-            ids = [get(p) for p in c]
-            self.words[w] = b"".join(ids) if None not in ids else np.array(self.t.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u2").tobytes()
+                out += PIECE.findall(w.lower())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """16-bit ids per text."""
-        parts = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        gone = new - self.words.keys()
-        if gone:
-            self.learn(list(gone) if len(self.words) <= 600_000 else list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [self.pieces(x) for x in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        for p in set(chain.from_iterable(parts)).difference(known):
+            known[p] = self.ids(p)
+        return [b"".join([known[x] for x in p]) for p in parts]
 
 
 @lru_cache(2)
@@ -320,8 +339,10 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end: int = 1) -> None:
             yield pd.DataFrame({"block": [pack(docs_, np.concatenate(parts))]})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    docs = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    docs.mapInPandas(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(stored // PART, 100_000))
+    docs = docs.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    frames(docs, run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, tmp: Scratch) -> DataFrame:
@@ -341,10 +362,10 @@ def read_tokens(spark: SparkSession, path: str, tmp: Scratch) -> DataFrame:
                         if not more:
                             out.append((name, None if null else d, begun, at - begun, crc))
                             begun, crc = at, 0
-                    yield pd.DataFrame(out, columns=["file", "doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out, columns=["file", "doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": object})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    rows = tmp.park(files.mapInPandas(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "rows")
+    rows = tmp.park(frames(files, run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "rows")
     # one row per file: its place follows from the number in its name
     part = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("no", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("no", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
