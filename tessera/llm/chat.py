@@ -4,17 +4,20 @@ Conversations are ordered by the chain of hashes of their turns, so those that
 share initial turns are neighbours.  Each partition walks its conversations once,
 which is a depth-first walk of their prefix tree: a turn's tokens are emitted when
 its node is entered, never again while the walk stays below it.  A block holds
-the packed tokens, and per node its interval, its position ids' start, whether
-it is under the loss mask, and its ancestors' intervals, which are what its
-tokens may attend to besides earlier ones of their own; each conversation is a
-node to end at.  Blocks end after ``BLOCK`` conversations or ``CHARS`` tokens.
+the packed tokens with their position ids and loss mask, and its nodes, parts of
+turns.  What a node's tokens may attend to besides earlier ones of their own are its
+ancestors' intervals.  As the walk is depth-first, ancestors lie end to end but where
+the branch left an earlier one, so a node names where its unbroken stretch begins and
+the node (``up``) that ends the stretch before; ``intervals`` lists them.  Each
+conversation is a node to end at.  Blocks end after ``CHARS`` tokens.
 
 Tokens are code points.  The template marks turns by control strings; in texts
-and roles a control string or backslash is escaped by backslash codes.
+and roles angle brackets, instruction marks and backslashes are escaped by backslash
+codes, so no text can make or complete a mark.
 
 The order is by range partitioning on the whole chain, so a first turn that a
 third of the conversations share is spread over partitions, and repeats once a
-block.  Cases: null text or role is empty; null conv_id is one conversation;
+block.  Cases: a conversation is held whole by one worker; null text or role is empty; null conv_id is one conversation;
 turns of equal number are ordered by role and text and all kept; repeated
 conversations share their nodes; extra columns are ignored; an empty table gives
 no blocks.
@@ -30,9 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK, CHARS = 256, 1_000_000
+from .kit import frames
+
+CHARS = 1_000_000
 #: fixed values: the template's control strings and their escapes
-CODES = {"\\": "\\\\", "[INST]": "\\I", "[/INST]": "\\i", "<s>": "\\b", "</s>": "\\e", "<<": "\\l", ">>": "\\r"}
+CODES = {"\\": "\\\\", "[INST]": "\\I", "[/INST]": "\\i", "<": "\\l", ">": "\\r"}
 PLAIN = {v[1]: k for k, v in CODES.items()}
 _control = re.compile("|".join(re.escape(k) for k in sorted(CODES, key=len, reverse=True)))
 _escaped = re.compile(r"\\(.)", re.S)
@@ -66,58 +71,62 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 class Tree:
-    """The block under construction; ``path`` is the walk's current branch."""
+    """The block under construction; ``path`` is the walk's current branch: turns,
+    and the last node and length of the branch up to each."""
 
     def __init__(self):
         self.tokens: list[str] = []
         self.size = 0
-        self.nodes: list[dict] = []
+        self.starts, self.ends, self.reach, self.up, self.pos, self.loss = [], [], [], [], [], []
         self.convs: list[tuple] = []
-        self.path: list[tuple[tuple[str, str], list[int]]] = []
-
-    def add(self, conv, turns: list[tuple[str, str]]) -> None:
+        self.path: list[tuple[tuple[str, str], int, int]] = []
+
+    def node(self, part: str, parent: int, pos: int, loss: bool) -> int:
+        joined = parent >= 0 and self.ends[parent] == self.size
+        self.reach.append(self.reach[parent] if joined else self.size)
+        self.up.append(self.up[parent] if joined else parent)
+        self.starts.append(self.size)
+        self.tokens.append(part)
+        self.size += len(part)
+        self.ends.append(self.size)
+        self.pos.append(pos)
+        self.loss.append(loss)
+        return len(self.ends) - 1
+
+    def add(self, conv: int | None, turns: list[tuple[str, str]]) -> None:
         shared = 0
         while shared < min(len(turns), len(self.path)) and self.path[shared][0] == turns[shared]:
             shared += 1
         del self.path[shared:]
+        leaf, pos = self.path[-1][1:] if self.path else (-1, 0)
         for role, text in turns[shared:]:
-            branch = [i for _, ids in self.path for i in ids]
-            pos = sum(self.nodes[i]["end"] - self.nodes[i]["start"] for i in branch)
-            ids = []
             for k, part in enumerate(render(role, text)):
-                self.nodes.append({"start": self.size, "end": self.size + len(part), "pos": pos, "loss": k == 1 and role == "assistant", "see": list(branch)})
-                branch.append(len(self.nodes) - 1)
-                ids.append(branch[-1])
-                self.tokens.append(part)
-                self.size += len(part)
+                leaf = self.node(part, leaf, pos, k == 1 and role == "assistant")
                 pos += len(part)
-            self.path.append(((role, text), ids))
-        self.convs.append((conv, self.path[-1][1][-1] if self.path else -1))
+            self.path.append(((role, text), leaf, pos))
+        self.convs.append((conv, leaf))
 
     def block(self) -> dict:
-        """Flat arrays: ids, positions, loss mask; intervals that a node sees, merged."""
+        """Flat arrays: ids, positions, loss mask; nodes; conversations."""
         ids = np.frombuffer("".join(self.tokens).encode("utf-32-le", "surrogatepass"), "<i4")
-        pos = np.zeros(self.size, np.int32)
-        loss = np.zeros(self.size, bool)
-        sees = []
-        for n in self.nodes:
-            pos[n["start"] : n["end"]] = np.arange(n["pos"], n["pos"] + n["end"] - n["start"])
-            loss[n["start"] : n["end"]] = n["loss"]
-            spans: list[list[int]] = []
-            for i in n["see"]:
-                a, b = self.nodes[i]["start"], self.nodes[i]["end"]
-                if spans and spans[-1][1] == a:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-            sees.append([x for s in spans for x in s])
+        lens = np.subtract(self.ends, self.starts)
+        pos = (np.arange(self.size) + np.repeat(np.subtract(self.pos, self.starts), lens)).astype(np.int32)
         return {
-            "ids": ids.tobytes(), "positions": pos.tobytes(), "loss": loss.tobytes(), "starts": [n["start"] for n in self.nodes], "ends": [n["end"] for n in self.nodes],
-            "sees": sees, "conv_ids": [c for c, _ in self.convs], "leaves": [leaf for _, leaf in self.convs],
+            "ids": ids.tobytes(), "positions": pos.tobytes(), "loss": np.repeat(np.array(self.loss, bool), lens).tobytes(), "starts": self.starts, "ends": self.ends, "reach": self.reach, "up": self.up,
+            "conv_ids": [c or 0 for c, _ in self.convs], "numbered": [c is not None for c, _ in self.convs], "leaves": [leaf for _, leaf in self.convs],
         }
 
 
-SCHEMA = "ids binary, positions binary, loss binary, starts array<long>, ends array<long>, sees array<array<long>>, conv_ids array<long>, leaves array<long>"
+def intervals(block, node: int) -> list[tuple[int, int]]:
+    """What a node's last token may attend to, itself included, first to last."""
+    out = []
+    while node >= 0:
+        out.append((int(block["reach"][node]), int(block["ends"][node])))
+        node = int(block["up"][node])
+    return out[::-1]
+
+
+SCHEMA = "ids binary, positions binary, loss binary, starts array<long>, ends array<long>, reach array<long>, up array<long>, conv_ids array<long>, numbered array<boolean>, leaves array<long>"
 
 
 def pack(spark: SparkSession, turns: DataFrame) -> DataFrame:
@@ -133,13 +142,13 @@ def pack(spark: SparkSession, turns: DataFrame) -> DataFrame:
         for pdf in batches:
             for c, t in zip(pdf["conv_id"], pdf["turns"]):
                 tree.add(None if pd.isna(c) else int(c), [(x["role"], x["text"]) for x in t])
-                if len(tree.convs) >= BLOCK or tree.size >= CHARS:
+                if tree.size >= CHARS:
                     yield pd.DataFrame([tree.block()])
                     tree = Tree()
         if tree.convs:
             yield pd.DataFrame([tree.block()])
 
-    return conv.select("conv_id", "turns").mapInPandas(run, SCHEMA)
+    return frames(conv.select("conv_id", "turns"), run, SCHEMA)
 
 
 def unpack(blocks: DataFrame) -> DataFrame:
@@ -148,13 +157,13 @@ def unpack(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for _, b in pdf.iterrows():
+            for b in pdf.to_dict("records"):
                 ids = np.frombuffer(b["ids"], "<i4")
                 pos = np.frombuffer(b["positions"], np.int32)
                 loss = np.frombuffer(b["loss"], bool)
                 out = []
-                for conv, leaf in zip(b["conv_ids"], b["leaves"]):
-                    spans = [*np.reshape(b["sees"][leaf], (-1, 2)).tolist(), [b["starts"][leaf], b["ends"][leaf]]] if leaf >= 0 else []
+                for conv, numbered, leaf in zip(b["conv_ids"], b["numbered"], b["leaves"]):
+                    spans = intervals(b, leaf)
                     at = np.concatenate([np.arange(x, y) for x, y in spans]) if spans else np.zeros(0, int)
                     if (pos[at] != np.arange(len(at))).any():
                         raise ValueError("positions do not follow the branch")
@@ -163,10 +172,10 @@ def unpack(blocks: DataFrame) -> DataFrame:
                     m = loss[at]
                     under = unescape("".join(ids[at][m].tobytes().decode("utf-32-le", "surrogatepass")))
                     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(text)))
-                yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                    out.append((int(conv) if numbered else None, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(text)))
+                yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": object})
 
-    return blocks.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return frames(blocks, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
