@@ -2,15 +2,16 @@
 
 The distinct words of a batch form a trie, walked depth-first in sorted order.
 A node stands for a prefix and holds the last token of the prefix's encoding and
-that encoding.  The last token of a longer prefix is the suffix token whose
+where it begins, which is the node of what precedes it.  The last token of a longer prefix is the suffix token whose
 junction with the encoding of what precedes it no merge would cross; so each
-shared prefix is encoded once, and a word's encoding is read off its node.
+shared prefix is encoded once, and a word's encoding is read off along its nodes.
+Memory is in proportion to the longest word.
 
 A junction of tokens (x, y) stays closed unless some token on the right edge of x
 and some token on the left edge of y merge before either is merged into its
 parent.  Merges are ranked by the id of the token that they make.
 
-Cases: null text is empty, no tokens; the special token's string in a text is its
+Cases: an empty table gives no rows; null text is empty, no tokens; the special token's string in a text is its
 id, as the library does; repeated rows are encoded each; texts are encoded whole.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 from os.path import commonprefix
 
@@ -25,12 +27,14 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .kit import blocks
+from .kit import blocks, frames
 
 #: fixed value: how byte-level BPE parts words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 30
+LONG = 100  # longer words are not kept
 
 
 def byte_letters() -> dict[str, int]:
@@ -101,14 +105,15 @@ class Bpe:
         """Encodings (little-endian 32-bit ids) of distinct words."""
         out = {}
         coded = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
-        last: list[int] = [0]  # by depth on the current path
-        done: list[bytes] = [b""]
+        # of each prefix on the current path: its last token, and where that begins
+        last: list[int] = [0]
+        from_: list[int] = [0]
         before = b""
         ids, fits, closed, reach = self.id, self.fits, self.closed, self.reach
         for raw, word in coded:
             n = len(raw)
             depth = len(commonprefix((before, raw)))
-            del last[depth + 1 :], done[depth + 1 :]
+            del last[depth + 1 :], from_[depth + 1 :]
             for end in range(depth + 1, n + 1):
                 most = reach.get(raw[max(0, end - 3) : end], 2)
                 for begin in range(max(0, end - most), end):
@@ -120,9 +125,14 @@ class Bpe:
                         if fits(last[begin], t) if ok is None else ok:
                             break
                 last.append(t)
-                done.append(done[begin] + t.to_bytes(4, "little"))
+                from_.append(begin)
             before = raw
-            out[word] = done[n]
+            tokens, at = array("I"), n
+            while at:
+                tokens.append(last[at])
+                at = from_[at]
+            tokens.reverse()
+            out[word] = tokens.tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -143,9 +153,14 @@ class Bpe:
             for p in row:
                 if not isinstance(p, str):
                     new.update(p)
-        self.known.update(self.walk([w for w in new if w not in self.known]))
+        fresh = self.walk([w for w in new if w not in self.known])
+        self.known.update(fresh)
         get = self.known.__getitem__
-        return [b"".join([self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in row]) for row in parts]
+        out = [b"".join([self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in row]) for row in parts]
+        for w in fresh:
+            if len(w) > LONG:
+                del self.known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -167,13 +182,14 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
             for i, j in blocks(texts):
                 ids = bpe.encode(texts[i:j])
                 yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[i:j].values,
+                    "doc_id": pdf["doc_id"].array[i:j],
                     "n_tokens": [len(x) // 4 for x in ids],
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return frames(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary(name: str) -> str:

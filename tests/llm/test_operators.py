@@ -3,6 +3,7 @@ repeated rows, empty tables and further columns."""
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -56,6 +57,34 @@ def test_arc_versions():
         list(warc.read_arc(warc.write_arc(recs, 1)[:-10]))
 
 
+def test_arc_damage(spark, tmp_path):
+    good = [warc.Record(f"http://a/{i} b", "1.2.3.4", "19990102030405", "text/html; charset=utf-8", f"HTTP/1.0 200 OK\nA: b\n\nbody {i}".encode()) for i in range(4)]
+    for version in (1, 2):
+        data = warc.write_arc(good, version)
+        lines = data.split(b"http://a/2 b ")
+        broken = lines[0] + b"http://a/2" + b" what is this\n" + lines[1].split(b"\n", 1)[1]
+        (tmp_path / f"{version}.arc").write_bytes(broken)
+        (tmp_path / f"{version}.arc.gz").write_bytes(gzip.compress(data[:-12]))
+    got = warc.convert(spark, str(tmp_path)).collect()
+    assert sum(r.damage is not None for r in got) == 4 and sum(r.record is not None for r in got) == 2 * (3 + 3)
+    for r in got:
+        if r.record is not None:
+            head, block = next(warc.read_warc(bytes(r.record) + warc.END))
+            body = warc.split_http(block)[1]
+            assert body.startswith(b"body ") and head["WARC-Payload-Digest"] == "sha1:" + warc.digest(body) and head["WARC-Target-URI"].startswith("http://a/")
+
+
+def test_warc_identifiers_differ(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (0, "u", "x"), (1, "u", "y")], "page_id long, url string, html string")
+    tmp = Scratch(spark, "t")
+    path = tmp.path("w")
+    warc.archive_pages(spark, pages, path, tmp)
+    data = b"".join(gzip.decompress(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
+    heads = [h for h, _ in warc.read_warc(data)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == 5 and {h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h} <= set(ids)
+
+
 def test_suffix(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(2000))
@@ -109,7 +138,30 @@ def test_shared_turns_are_emitted_once():
     t.add(2, [("user", "shared"), ("assistant", "b")])
     assert "".join(t.tokens).count("shared") == 1
     b = t.block()
-    assert b["sees"][b["leaves"][1]] != b["sees"][b["leaves"][0]]
+    said = "".join(t.tokens)
+    one, two = (chat.intervals(b, leaf) for leaf in b["leaves"])
+    assert len(one) == 1 and len(two) == 2 and two[0][1] == one[0][1] - len("".join(chat.render("assistant", "a")))
+    assert chat.parse("".join(said[x:y] for x, y in two)) == [("user", "shared"), ("assistant", "b")]
+
+
+def test_chat_round_trip_of_marks():
+    rng = random.Random(8)
+    some = lambda: "".join(rng.choice(["<", ">", "[INST]", "[/INST]", "[/INST", "]", "\\", "s>", "</s", "<s>", "user", "é", "\n", "i"]) for _ in range(rng.randint(0, 7)))
+    assert chat.parse("".join(chat.render("tool>", ">hi"))) == [("tool>", ">hi")]
+    for _ in range(3000):
+        turns = [(rng.choice(["user", "assistant", some()]), some()) for _ in range(rng.randint(0, 4))]
+        assert chat.parse("".join("".join(chat.render(*t)) for t in turns)) == turns
+
+
+def test_long_conversation():
+    t = chat.Tree()
+    turns = [(("user", "assistant")[i % 2], f"turn {i}") for i in range(10_000)]
+    t.add(1, turns)
+    t.add(2, [*turns[:9_000], ("user", "else")])
+    b = t.block()
+    assert len(b["starts"]) == 30_003 and len(chat.intervals(b, b["leaves"][0])) == 1
+    text = "".join(t.tokens)
+    assert chat.parse("".join(text[x:y] for x, y in chat.intervals(b, b["leaves"][1]))) == [*turns[:9_000], ("user", "else")]
 
 
 def near_brute(texts):
@@ -274,6 +326,22 @@ def test_bpe_equals_library():
         assert mine.decode(ids) == lib.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words():
+    import resource
+
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    mine, lib = bpe.Bpe(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for t in ("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "=" * 200_000, " " * 100_000 + "x", "中文" * 30_000):
+        (ids,) = mine.encode([t])
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert not [w for w in mine.known if len(w) > bpe.LONG]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
+
+
 def test_bpe_query(spark):
     got = bpe.round_trip(spark, documents(spark, ODD + [(507, "x")]), bpe.vocabulary("byte_bpe_50k.json")).collect()
     assert len(got) == 9
