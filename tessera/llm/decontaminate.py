@@ -11,14 +11,17 @@ fillings do not.  Beside them, windows of the five plain words, without
 placeholders, find copies whose capitals differ (an upper-cased passage is all
 names).  An item leaks into a document if windows of one of the two kinds, on
 consistent alignments, cover at least 0.8 of the places of the item's windows of
-that kind; its coverage is the better of the two.
+that kind; its coverage is the better of the two.  Items of three or four words are
+found by windows of so many plain words, those of one or two where they are a whole
+text.
 
 Benchmark windows up to ``SMALL`` rows are broadcast (checked by count) to drop
 unmatched document windows where they arise; beyond that all windows are joined
-by shuffle.  Cases: null, empty or short texts (under five words) and items have
-no windows and never match; template windows of fewer than two plain words are left out;
-repeated documents are each reported; repeated items are each reported; extra
-columns are ignored.
+by shuffle.  Cases: null or word-free texts and items have no windows and never
+match; template windows of fewer than two plain words are left out; repeated
+documents and items are each reported; rows without doc_id are searched and reported
+with a null doc_id, items without item_id are left out; empty tables give no rows; a
+very long text is searched whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Scratch, blocks, checked_small, mix, runs
+from .kit import Scratch, blocks, checked_small, column, frames, mix, runs, unused
 from .toxicity import Tokens
 
 W, SHARE, SMALL = 5, 0.8, 500_000
@@ -59,9 +62,10 @@ def template(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, digit | unit | name
 
 
-def windows(texts, known=None) -> pd.DataFrame:
+def windows(texts, known=None, short=(), items=False) -> pd.DataFrame:
     """row, plain (kind of window), at (word), h, slots (of template windows:
-    hashes of replaced words, 0 for plain words)."""
+    hashes of replaced words, 0 for plain words), words (of the window).  ``short`` are the lengths of items
+    under W words to look for; of ``items``, each is of its own length only."""
     # folding neither parts nor joins words, so both have the same ones
     t, f = Tokens(texts), Tokens([(x or "").casefold() for x in texts])
     words, slot = template(t, f.h)
@@ -80,7 +84,17 @@ def windows(texts, known=None) -> pd.DataFrame:
         at, h = whole[keep], h[keep]
         d = t.doc[at]
         slots = [None] * len(at) if plain else [value[a : a + W] for a in at]
-        out.append(pd.DataFrame({"row": d, "plain": plain, "at": at - first[d], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)}))
+        out.append(pd.DataFrame({"row": d, "plain": plain, "at": at - first[d], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object), "words": W}))
+    count = np.bincount(t.doc, minlength=t.n)
+    for n in short:
+        h, d = runs(f.h, f.doc, n)
+        at = np.flatnonzero(f.doc[: max(0, len(f.doc) - n + 1)] == f.doc[n - 1 :])
+        keep = count[d] == n if items or n < 3 else np.ones(len(h), bool)
+        h = mix(h + PLAIN + np.uint64(n))
+        if known is not None and len(h):
+            keep &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else False
+        d, at, h = d[keep], at[keep], h[keep]
+        out.append(pd.DataFrame({"row": d, "plain": True, "at": at - first[d], "h": h.view(np.int64), "slots": pd.Series([None] * len(at), dtype=object), "words": n}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -90,34 +104,39 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch,
 
     def items(batches):
         for pdf in batches:
-            for i, j in blocks(pdf["text"].tolist()):
-                w = windows(pdf["text"].tolist()[i:j])
-                yield w.assign(item_id=pdf["item_id"].to_numpy()[i:j][w.pop("row")])[["item_id", "plain", "at", "h", "slots"]]
+            texts = pdf["text"].tolist()
+            for i, j in blocks(texts):
+                w = windows(texts[i:j], short=range(1, W), items=True)
+                yield w.assign(item_id=pdf["item_id"].array[i:j][w.pop("row").to_numpy()])
 
-    ref = tmp.park(bench.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(items, "item_id long, plain boolean, at long, h long, slots array<long>"), "items")
+    ref = frames(bench.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"), items, "item_id long, plain boolean, at long, h long, slots array<long>, words long")
+    ref = tmp.park(ref, "items")
     small = ref.count() <= SMALL
     known = spark.sparkContext.broadcast(np.unique(ref.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if small else None)
+    short = sorted(r.words for r in ref.where(F.col("words") < W).select("words").distinct().collect())  # four at most
 
     def seek(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i, j in blocks(texts):
-                w = windows(texts[i:j], known.value)
+                w = windows(texts[i:j], known.value, short)
                 r = w.pop("row").to_numpy()
-                yield w.assign(doc_id=pdf["doc_id"].to_numpy()[i:j][r], key=pdf["key"].to_numpy()[i:j][r])[["doc_id", "key", "at", "h", "slots"]]
+                yield w.assign(**{c: pdf[c].array[i:j][r] for c in ("doc_id", "none", "key")})
 
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
-    found = docs.mapInPandas(seek, "doc_id long, key long, at long, h long, slots array<long>")
+    # null ids are told by a flag, so that joins keep them
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("key"), "text")
+    found = frames(docs, seek, "doc_id long, none boolean, key long, at long, h long, slots array<long>")
+    doc = ["doc_id", "none", "key"]
     side = ref.select("item_id", "plain", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    hits = found.join(checked_small(side) if small else side, "h").select("doc_id", "key", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")).alias("z"))
-    hits = tmp.park(hits.dropDuplicates(["doc_id", "key", "item_id", "plain", "shift", "item_at"]), "hits")
-    line = ["doc_id", "key", "item_id", "plain", "shift"]
+    hits = found.join(checked_small(side) if small else side, "h").select(*doc, "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")).alias("z"))
+    hits = tmp.park(hits.dropDuplicates([*doc, "item_id", "plain", "shift", "item_at"]), "hits")
+    line = [*doc, "item_id", "plain", "shift"]
     filled = hits.select(*line, F.explode("z").alias("z")).where("z.x <> 0").select(*line, "z.x", "z.y").distinct()
     off = filled.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("n <> nx or n <> ny")
     total = ref.groupBy("item_id", "plain").agg(F.countDistinct("at").alias("total"))
-    good = hits.join(off.select(*line), line, "left_anti").groupBy("doc_id", "key", "item_id", "plain").agg(F.countDistinct("item_at").alias("n"))
-    best = good.join(total, ["item_id", "plain"]).groupBy("doc_id", "key", "item_id").agg(F.max(F.least(F.lit(1.0), F.col("n") / F.col("total"))).alias("coverage"))
-    return best.where(F.col("coverage") >= share)
+    good = hits.join(off.select(*line), line, "left_anti").groupBy(*doc, "item_id", "plain").agg(F.countDistinct("item_at").alias("n"))
+    best = good.join(total, ["item_id", "plain"]).groupBy(*doc, "item_id").agg(F.max(F.least(F.lit(1.0), F.col("n") / F.col("total"))).alias("coverage"))
+    return best.where(F.col("coverage") >= share).select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "key", "item_id", "coverage")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +148,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
     tmp = Scratch(spark, "decontaminate")
-    bad = tmp.park(leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tmp).select("doc_id", "key").distinct(), "bad")
-    return docs.withColumn("key", F.xxhash64("text")).join(checked_small(bad), ["doc_id", "key"], "left_anti").select(docs.columns)
+    id_, key, by = unused(docs, "id", "key", "by")
+    bad = leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tmp).select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    bad = checked_small(tmp.park(bad, "bad"))
+    out = docs.withColumn(by, F.xxhash64("text")).join(bad, column("doc_id").eqNullSafe(bad[id_]) & (column(by) == bad[key]), "left_anti")
+    return out.select([column(c) for c in docs.columns])

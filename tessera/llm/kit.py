@@ -75,6 +75,23 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterable[pd.Da
     return df.mapInArrow(inner, want)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in have:
+            n += "_"
+        have.add(n)
+        out.append(n)
+    return out
+
+
+def column(name: str):
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Rows of a slim table (two or three longs) up to which a join may broadcast it: under 10 MB.
 SMALL_ROWS = 100_000
 
