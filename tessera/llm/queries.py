@@ -1,6 +1,9 @@
 """The operators of this subpackage as registered queries."""
 
 from . import ann, bpe, chat, decontaminate, neardup, secrets, suffix, tokenfile, toxicity, warc
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_arc_to_warc": warc.op1_arc_to_warc,
@@ -14,5 +17,3 @@ QUERIES = {
     "op9_token_files": tokenfile.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-#: None of these has SQL that could run over whole tables; tests/llm holds the brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
