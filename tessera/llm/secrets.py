@@ -2,13 +2,14 @@
 
 Base spans are found by pattern (leftmost, non-overlapping per kind; a match that
 fails its length test is dropped).  Candidate values - what an assignment
-assigns, access keys, hexadecimal runs and further long mixed tokens - are
-hashed and counted over the corpus by distinct owners and repositories (an
-owner's repository; copies within one repository count once).  A value copied
+assigns, access keys, hexadecimal runs and further long tokens of letters and
+digits - are hashed and counted over the corpus by distinct owners and repositories
+(an owner's repository; copies within one repository count once).  A value copied
 among ``OWNERS`` owners is an example, and so is one of fewer owners, two at
 least, that is in ``OWNERS`` repositories an owner on average.  Every other value
-is live-looking.  The method adds spans of the candidates' values, kinds
-``example`` and ``live``; base spans stay.  Positions are code points.
+is owner-specific: live-looking if it has at least ``LETTERS`` different characters,
+else dull.  The method adds spans of the candidates' values, kinds ``example``,
+``live`` and ``dull``; base spans stay.  Positions are code points.
 
 Positions come from splitting at the pattern: gap lengths and match lengths,
 summed in order.  Counts are aggregated by (value, repository, owner) first, so
@@ -16,7 +17,7 @@ a value that fills a third of the corpus is combined before it moves, and joined
 back by shuffle, where adaptive execution splits it.  Spans are gathered by
 document only.
 
-Cases: null text is empty; rows that repeat a doc_id are scanned each; null
+Cases: an empty table gives no rows; a very long text is scanned whole; null text is empty; rows that repeat a doc_id are scanned each; null
 source or lang counts as one owner or repository of its own; documents without
 spans get zero counts and empty lists; extra columns are ignored.
 """
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kit import Scratch
+from .kit import Scratch, column, unused
 
 # fixed values: the base patterns and the lengths that matches must have
 BASE = {
@@ -35,8 +36,9 @@ BASE = {
     "hex": r"[0-9a-f]{16,}",
 }
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}"  # whole runs, kept if they have a letter and a digit
 OWNERS = 3  # owners from which on a value counts as a widely copied example
+LETTERS = 6  # different characters of a value that looks live
 
 
 def pieces(text: Column, kind: str, pattern: str) -> Column:
@@ -66,12 +68,14 @@ def scan(spark: SparkSession, docs: DataFrame, tmp: Scratch, owner: str = "sourc
     size = F.when(F.col("kind") == "access", F.col("len")).otherwise(F.length("value"))
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in LEAST.items()], F.lit(20))
     # the value is the end of its match
-    each = each.where(size >= least).select("row", "owner", "repo", "kind", "start", "end", (F.col("end") - F.length("value")).alias("from"), F.sha2("value", 256).alias("value"))
+    each = each.where((size >= least) & ((F.col("kind") != "token") | F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    varied = F.size(F.array_distinct(F.split("value", ""))) >= LETTERS
+    each = each.select("row", "owner", "repo", "kind", "start", "end", (F.col("end") - F.length("value")).alias("from"), varied.alias("varied"), F.sha2("value", 256).alias("value"))
     each = tmp.park(each, "each")
     held = each.select("value", "owner", "repo").distinct()
     held = held.groupBy("value").agg(F.countDistinct(F.coalesce(F.concat(F.lit("="), "owner"), F.lit("-"))).alias("owners"), F.count(F.lit(1)).alias("repos"))
     wide = (F.col("owners") >= OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= OWNERS * F.col("owners")))
-    label = F.when(wide, "example").otherwise("live")
+    label = F.when(wide, "example").when(F.col("varied"), "live").otherwise("dull")
     said = each.join(held, "value").select("row", label.alias("kind"), F.col("from").alias("start"), "end").distinct()
     base = each.where(F.col("kind").isin(*BASE)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     return found.select("row", "doc_id", "key"), base.union(said.withColumn("base", F.lit(False)))
@@ -79,7 +83,7 @@ def scan(spark: SparkSession, docs: DataFrame, tmp: Scratch, owner: str = "sourc
 
 def rank() -> Column:
     """Place of a span's kind in the order of kinds."""
-    return F.array_position(F.array(*[F.lit(k) for k in (*BASE, "live", "example")]), F.col("kind"))
+    return F.array_position(F.array(*[F.lit(k) for k in (*BASE, "live", "dull", "example")]), F.col("kind"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, tmp: Scratch) -> DataFrame:
@@ -104,17 +108,18 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in its text are replaced by ``[SECRET]`` and n_chars is counted anew."""
     tmp = Scratch(spark, "redact")
     rows, spans = scan(spark, docs, tmp)
-    cut = spans.where("base or kind = 'live'").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut"))
-    cut = tmp.park(rows.join(cut, "row").select("doc_id", "key", "cut").dropDuplicates(["doc_id", "key"]), "cut")
+    id_, key, by, cut, new = unused(docs, "id", "key", "by", "cut", "new")
+    spots = spans.where("base or kind = 'live'").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut))
+    spots = rows.join(spots, "row").select(F.col("doc_id").alias(id_), F.col("key").alias(key), cut).dropDuplicates([id_, key])
+    spots = tmp.park(spots, "cut")
     state = "struct<at:bigint,out:array<string>>"
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda s, c: F.when(c["end"] <= s["at"], s).otherwise(
         F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(c["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, c["start"] - s["at"]), F.lit("[SECRET]")))).alias("out")).cast(state)
     )
-    whole = F.aggregate("cut", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    marked = docs.withColumn("key", F.xxhash64("text"))
-    marked = marked.withColumnRenamed("doc_id", "id_").join(cut.withColumnRenamed("key", "key_"), F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("key_")), "left")
-    marked = marked.withColumn("new_", F.when(F.col("cut").isNull(), F.col("text")).otherwise(whole))
-    counted = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("new_")).cast("long")
-    out = {"doc_id": F.col("id_"), "text": F.col("new_"), "n_chars": counted}
-    return marked.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    whole = F.aggregate(cut, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    marked = docs.withColumn(by, F.xxhash64("text"))
+    marked = marked.join(spots, column("doc_id").eqNullSafe(spots[id_]) & (marked[by] == spots[key]), "left")
+    marked = marked.withColumn(new, F.when(F.col(cut).isNull(), F.col("text")).otherwise(whole))
+    out = {"text": F.col(new), "n_chars": F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast("long")}
+    return marked.select(*[out[c].alias(c) if c in out else column(c) for c in docs.columns])

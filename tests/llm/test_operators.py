@@ -164,11 +164,11 @@ def test_long_conversation():
     assert chat.parse("".join(text[x:y] for x, y in chat.intervals(b, b["leaves"][1]))) == [*turns[:9_000], ("user", "else")]
 
 
-def near_brute(texts):
+def near_brute(texts, k=3, num=85):
     sets = {}
     for i, t in texts:
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
-        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -180,7 +180,7 @@ def near_brute(texts):
     for a in ids:
         for b in ids:
             x, y = sets[a], sets[b]
-            if a < b and x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if a < b and x and y and 100 * len(x & y) >= num * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -204,7 +204,7 @@ def test_near_duplicates(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, docs).collect()}
     assert got == near_brute(texts)
     kept = neardup.keep_one(spark, documents(spark, [*texts, texts[0], (None, "x"), (None, "x")]), "").collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i, (_, c) in near_brute(texts).items() if i == c)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i, (_, c) in near_brute(texts, 5, 80).items() if i == c)
     assert neardup.near_duplicates(spark, docs.where("false")).count() == 0
 
 
@@ -392,6 +392,40 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(spark, documents(spark, texts), bench.where("false"), Scratch(spark, "d")).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    items = [(1, "What is 12 + 5?"), (2, "three plain words"), (3, "yes"), (4, "two words"), (5, ""), (6, "the sum of six and seven")]
+    texts = [(1, "So WHAT is 12 5 then"), (2, "are three, plain words"), (3, "Yes!"), (4, "yes two words"), (5, "Two words"), (None, "three plain words"), (6, "What is 13 + 5?"), (7, f"{' '.join(words(50, 1))} the sum of six and seven")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark, documents(spark, texts), bench, Scratch(spark, "d")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (5, 4), (None, 2), (7, 6)}
+
+
+def test_decontaminate_against_brute_force(spark):
+    """Prose without slots: coverage is the share of an item's five-word windows that one alignment holds."""
+    rng = random.Random(6)
+    items = {i: words(rng.randint(5, 30), 700 + i) for i in range(30)}
+    texts = {}
+    for d in range(120):
+        parts = [words(rng.randint(0, 40), 800 + d)]
+        for _ in range(rng.randint(0, 2)):
+            w = list(items[rng.randrange(30)])
+            a = rng.randint(0, 3)
+            parts += [w[a : len(w) - rng.randint(0, 3)], words(rng.randint(0, 9), rng.randrange(9**9))]
+        texts[d] = " ".join(w for p in parts for w in p)
+    want = set()
+    for d, t in texts.items():
+        have = t.split()
+        windows = {tuple(have[i : i + 5]) for i in range(len(have) - 4)}
+        for i, w in items.items():
+            mine = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+            n = sum(x in windows for x in mine)
+            if n / len(mine) >= 0.8:
+                want.add((d, i, n / len(mine)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.leaks(spark, documents(spark, list(texts.items())), bench, Scratch(spark, "d")).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got} == want and len(want) > 20
+
+
 def test_decontaminate_folds_case(spark):
     item = "On the table John Smith put 12 apples and 5 kg of pears before Élodie Straße left the old house"
     texts = [(1, item.upper()), (2, f"{' '.join(words(40, 1))} {item.lower()} {' '.join(words(40, 2))}"), (3, item.swapcase()), (4, " ".join(item.upper().split()[:9]))]
@@ -409,11 +443,11 @@ def test_suffix_tells_surroundings_apart(spark):
 
 
 def test_secrets_of_few_owners(spark):
-    two, wide, late = "q7" * 12, "z9" * 12, "Ab" * 30 + "7"
+    two, wide, late = "q7w8e9" * 4, "z9" * 12, "AbCdEf" * 10 + "7"
     rows = [(1, f"x {two} y", "en", "s1"), (2, two, "en", "s2"), (3, late, "en", "s1"), (4, "7" * 60 + "x", "en", "s1")]
     rows += [(10 + i, wide, lang, f"s{i % 2}") for i, lang in enumerate("a a b b c c".split())]
     docs = spark.createDataFrame([(i, t, lang, source, len(t), "k", "r") for i, t, lang, source in rows], DOCS)
     spans = {r.doc_id: r.spans for r in secrets.secrets(spark, docs, Scratch(spark, "s")).collect()}
-    assert spans == {1: "live:2:26", 2: "live:0:24", 3: "live:0:61", 4: "hex:0:60,live:0:60,live:0:61"} | {10 + i: "example:0:24" for i in range(6)}
+    assert spans == {1: "live:2:26", 2: "live:0:24", 3: "live:0:61", 4: "hex:0:60,dull:0:60,dull:0:61"} | {10 + i: "example:0:24" for i in range(6)}
     out = {r.doc_id: r.text for r in secrets.redact(spark, docs, "").collect()}
-    assert out == {1: "x [SECRET] y", **dict.fromkeys((2, 3, 4), "[SECRET]")} | {10 + i: wide for i in range(6)}
+    assert out == {1: "x [SECRET] y", **dict.fromkeys((2, 3), "[SECRET]"), 4: "[SECRET]x"} | {10 + i: wide for i in range(6)}

@@ -49,7 +49,7 @@ def test_pipeline(spark, tmp_path):
     planted = {i for i, t in texts if t and set(t.split()) & set(BAD)}
     assert rude <= planted and len(rude) >= 0.95 * len(planted)
     kept = [(i, t) for i, t in texts if i not in rude]
-    group = near_brute(kept)
+    group = near_brute(kept, 5, 80)
     kept = [(i, t) for i, t in kept if group[i][1] == i and ITEM not in (t or "")]
     kept = [(i, ASSIGN.sub(lambda m: "[SECRET]" if len(m[2]) >= 12 else m[0], t or "")) for i, t in kept]
     assert {1000, 1001, 1003, 1004}.isdisjoint(i for i, _ in kept) and sum("[SECRET]" in t for _, t in kept) == 2
