@@ -272,6 +272,44 @@ def test_ann(spark):
     assert ann.nearest(spark, ann.index(spark, few, tmp), few, tmp).count() == 6
 
 
+def test_ann_levels():
+    rng = np.random.default_rng(4)
+    x = ann.unit(rng.normal(size=(4000, 24)))
+    level = -np.sort(-ann.levels(np.arange(4000)))
+    graph = ann.build(x, level)
+    assert len(graph) == level.max() + 1 >= 3 and [len(g) for g in graph] == [int((level >= i).sum()) for i in range(level.max(), -1, -1)]
+    q = ann.unit(rng.normal(size=(200, 24)))
+    found = ann.search(x, graph, q)[:, :10]
+    best = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), best.tolist())]) >= 0.95
+
+
+def test_ann_ties_and_sizes(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1200, 8))
+    v[100:400] = v[50] * 2.0 ** rng.integers(-3, 4, (300, 1))  # exact ties, scaled
+    v[400:500] = v[51]
+    v[500:520] *= 1e200
+    v[600:620] *= 1e-200
+    v[1100] = v[50]
+    df = ann.vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    tmp = Scratch(spark, "a")
+    got = ann.nearest(spark, ann.index(spark, df, tmp, shard=500), df.where("id % 50 = 0"), tmp).collect()
+    s = ann.scaled(v)
+    norm = np.sqrt((s * s).sum(1))
+    hits = 0
+    for q in range(0, 1200, 50):
+        score = (s * s[q]).sum(1) / (norm * norm[q])
+        score[q] = -9
+        best = np.lexsort((np.arange(1200), -score))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        hits += len({x for _, x, _ in mine} & set(best.tolist()))
+        assert [x for x, _, _ in mine] == [1, 2, 3, 4, 5] and all(score[x] == y for _, x, y in mine)
+        if q in (50, 1100) or 100 <= q < 500:
+            assert [x for _, x, _ in mine] == best.tolist()
+    assert hits / 120 >= 0.95
+
+
 def test_crf_chain_is_exact():
     rng = np.random.default_rng(0)
     score, trans, start = rng.normal(size=6), np.exp(rng.normal(size=(2, 2))), 0.7
