@@ -75,6 +75,14 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterable[pd.Da
     return df.mapInArrow(inner, want)
 
 
+def parts_of(df: DataFrame, size: int) -> int:
+    """Partitions of about ``size`` stored bytes each, the session's shuffle
+    partitions at least; those alone where Spark knows no size (no file behind)."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(stored // size, 100_000) if stored < 1 << 60 else 0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

@@ -6,21 +6,24 @@ bytes that such strings cover are removed.  Texts are laid end to end in chunks.
 1. Anchors.  Of the ``GRAM``-byte grams in each SPAN-byte window the one of least
    hash (all of them, on ties) is an anchor; equal windows have equal anchors at
    equal places, and about one position in 30 is an anchor.
-2. Anchors are grouped by gram.  An anchor whose whole surroundings (what windows
-   through it can reach) occurred earlier marks all its windows at once; this
-   compares BLAKE2b digests of 128 bits, not bytes.  Within a chunk such anchors
-   are folded before they move.
-3. Of grams with differing surroundings one anchor for each is sent on with those
-   bytes.  The suffixes from the anchors are sorted by a mergesort whose
-   comparisons find the common extension by binary search over prefix
-   polynomial hashes.  For each offset, windows are equal if they are joined by
-   common extensions of at least SPAN - offset and by equal hashes to the left;
-   each is then compared byte by byte with its first occurrence.
+2. Anchors are counted by gram hash.  Of those of one chunk with equal surroundings
+   (what windows through them can reach; bytes are compared) the first stands for all.
+3. Anchors of repeated grams are sent on with their surroundings.  The suffixes from
+   the anchors are sorted by a mergesort whose comparisons find the common extension
+   by binary search over prefix polynomial hashes; neighbours are then compared byte by
+   byte, and if a hash was wrong, bytes are sorted instead.  Anchors whose whole
+   surroundings came earlier mark all their windows.  For those left and each offset,
+   windows are equal if they are joined by common extensions of at least SPAN - offset
+   and by equal hashes to the left; each is compared byte by byte with its first
+   occurrence, and if they differ, windows are grouped by their bytes.
 4. Marks return to the chunks, where spans are merged and texts put together.
 
-Order is by doc_id, then place.  Cases: null text is empty; texts under SPAN bytes
-are untouched; rows that repeat a doc_id are texts in the order of their chunks;
-null doc_ids come last; an empty table gives no rows; extra columns are ignored.
+The number of groups grows with the input (``PART`` stored bytes each); those anchors
+of one gram whose surroundings differ meet in one group.  Order is by doc_id, then
+place.  Cases: null text is empty; texts under SPAN bytes are untouched; a very long
+text is a chunk of its own, held whole by a worker; rows that repeat a doc_id are
+texts in the order of their chunks; null doc_ids come last; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import BASE, BYTE, Scratch, mix, powers
+from .kit import BASE, BYTE, Scratch, frames, mix, parts_of, powers
 
-SPAN, GRAM, CHUNK = 100, 40, 3_000_000
+SPAN, GRAM, CHUNK, PART = 100, 40, 3_000_000, 8 << 20
 REACH = SPAN - GRAM  # an anchor is at most so far into its window
 U = np.uint64
 _inverse = U(pow(int(BASE), -1, 2**64))
@@ -56,7 +59,8 @@ def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 class Chunk:
     """Texts laid end to end: text d is data[base[d]:base[d + 1]]."""
 
-    def __init__(self, ids: bytes, lens: bytes, data: bytes):
+    def __init__(self, row):
+        ids, lens, data = row.ids, row.lens, row.data
         self.ids = np.frombuffer(ids, np.int64)
         self.lens = np.frombuffer(lens, np.int64)
         self.data = np.frombuffer(data, np.uint8)
@@ -116,56 +120,63 @@ def inverse_powers(n: int) -> np.ndarray:
 
 def chunks(batches):
     part, no = TaskContext.get().partitionId(), 0
-    ids, lens, data, size = [], [], [], 0
+    ids, none, lens, data, size = [], [], [], [], 0
 
     def row():
-        return pd.DataFrame([{"chunk": (part << 32) + no, "ids": np.array(ids, np.int64).tobytes(), "lens": np.array(lens, np.int64).tobytes(), "data": b"".join(data)}])
+        return pd.DataFrame([{"chunk": (part << 32) + no, "ids": np.array(ids, np.int64).tobytes(), "none": np.array(none, bool).tobytes(), "lens": np.array(lens, np.int64).tobytes(), "data": b"".join(data)}])
 
     for pdf in batches:
         for i, t in zip(pdf["doc_id"], pdf["text"]):
             raw = (t or "").encode("utf-8", "surrogatepass")
+            none.append(pd.isna(i))
             ids.append(LAST if pd.isna(i) else int(i))
             lens.append(len(raw))
             data.append(raw)
             size += len(raw)
             if size >= CHUNK:
                 yield row()
-                no, ids, lens, data, size = no + 1, [], [], [], 0
+                no, ids, none, lens, data, size = no + 1, [], [], [], [], 0
     if ids:
         yield row()
 
 
+def same_as_before(c: Chunk, at: np.ndarray) -> np.ndarray:
+    """Which of these anchors have the surroundings of an earlier one of the chunk."""
+    key = np.zeros(len(at), U)
+    for i in range(0, len(at), 20_000):
+        ctx, left, right = c.around(at[i : i + 20_000])
+        k = left.astype(U) << U(8) | right.astype(U)
+        for j in range(ctx.shape[1]):
+            k = k * BASE + BYTE[ctx[:, j]]
+        key[i : i + 20_000] = mix(k)
+    did = c.ids[c.doc(at)] if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort((at, did, key))
+    out = np.zeros(len(at), bool)
+    twin = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+    for i in range(0, len(twin), 20_000):
+        some = twin[i : i + 20_000]
+        one, two = c.around(at[order[some]]), c.around(at[order[some - 1]])
+        out[order[some]] = (one[0] == two[0]).all(1) & (one[1] == two[1]) & (one[2] == two[2])
+    return out
+
+
 def _emit(parts: int):
-    """Rows (part, chunk, h, c, did, at): a chunk's anchors by gram; the first of
-    those with equal surroundings stands for all, the others are in ``own``."""
+    """Rows (part, chunk, h, at, own): a chunk's anchors by gram; the first of those
+    with equal surroundings stands for all, the others are in ``own``."""
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples():
-                c = Chunk(row.ids, row.lens, row.data)
+                c = Chunk(row)
                 at, h = c.anchors()
-                sums = []
-                for i in range(0, len(at), 20_000):
-                    ctx, left, right = c.around(at[i : i + 20_000])
-                    wide = np.column_stack([left, right, ctx])
-                    w, raw = wide.shape[1], wide.tobytes()
-                    sums += [hashlib.blake2b(raw[k : k + w], digest_size=16).digest() for k in range(0, len(raw), w)]
-                sum_ = cat(sums, U).reshape(-1, 2)
-                did = c.ids[c.doc(at)] if len(at) else np.zeros(0, np.int64)
-                order = np.lexsort((at, did, sum_[:, 1], sum_[:, 0], h))
-                same = np.zeros(len(at), bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (sum_[order][1:] == sum_[order][:-1]).all(1)
-                own = np.sort(at[order[same]])
-                first = np.sort(order[~same])
-                to = (mix(h[first]) % U(parts)).astype(np.int64)
+                twin = same_as_before(c, at)
+                own, at, h = at[twin], at[~twin], h[~twin]
+                to = (mix(h) % U(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                first, to = first[by], to[by]
-                out = []
-                for p, part in zip(*groups(to, first)):
-                    out.append((int(p), row.chunk, h[part].tobytes(), sum_[part].tobytes(), did[part].tobytes(), at[part].astype("<u4").tobytes(), b""))
+                out = [(int(p), row.chunk, h[i].tobytes(), at[i].astype("<u4").tobytes(), b"") for p, i in zip(*groups(to[by], by))]
                 if len(own):
-                    out.append((int(row.chunk % parts), row.chunk, b"", b"", b"", b"", own.astype("<u4").tobytes()))
-                yield pd.DataFrame(out, columns=["part", "chunk", "h", "c", "did", "at", "own"])
+                    out.append((int(row.chunk % parts), row.chunk, b"", b"", own.astype("<u4").tobytes()))
+                yield pd.DataFrame(out, columns=["part", "chunk", "h", "at", "own"])
 
     return run
 
@@ -181,21 +192,17 @@ def cat(col, dtype) -> np.ndarray:
 
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each gram: anchors whose surroundings came earlier (full), and, where
-    surroundings differ, the first anchor of each (check)."""
-    h, c, did, at = cat(pdf["h"], U), cat(pdf["c"], U).reshape(-1, 2), cat(pdf["did"], np.int64), cat(pdf["at"], "<u4")
+    """By chunk, anchors that are marked already (full) and those whose gram another has too (check)."""
+    h, at = cat(pdf["h"], U), cat(pdf["at"], "<u4")
     chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) // 8 for x in pdf["h"]])
-    order = np.lexsort((at, chunk, did, c[:, 1], c[:, 0], h))
-    h, c, chunk, at = h[order], c[order], chunk[order], at[order]
-    new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-    new = new_h | np.concatenate([[True], (c[1:] != c[:-1]).any(1)])[: len(h)]
-    kinds = np.bincount(np.cumsum(new_h) - 1, new) if len(h) else np.zeros(0)
-    many = kinds[np.cumsum(new_h) - 1] > 1 if len(h) else np.zeros(0, bool)
+    by = np.argsort(h, kind="stable")
+    same = h[by][1:] == h[by][:-1]
+    many = np.zeros(len(h), bool)
+    many[by[1:][same]] = many[by[:-1][same]] = True
+    at, chunk = at[many], chunk[many]
+    by = np.argsort(chunk, kind="stable")
     out = [(int(r.chunk), r.own, b"") for r in pdf.itertuples() if len(r.own)]
-    for which, full in ((~new, True), (new & many, False)):
-        by = np.argsort(chunk[which], kind="stable")
-        for k, a in zip(*groups(chunk[which][by], at[which][by])):
-            out.append((int(k), a.tobytes(), b"") if full else (int(k), b"", a.tobytes()))
+    out += [(int(k), b"", a.tobytes()) for k, a in zip(*groups(chunk[by], at[by]))]
     return pd.DataFrame(out, columns=["chunk", "full", "check"])
 
 
@@ -206,7 +213,7 @@ def _contexts(parts: int):
                 at = np.sort(cat(row.check, "<u4").astype(np.int64))
                 if not len(at):
                     continue
-                c = Chunk(row.ids, row.lens, row.data)
+                c = Chunk(row)
                 ctx, left, right = c.around(at)
                 p = np.zeros(len(at), U)
                 for k in range(GRAM):
@@ -222,7 +229,8 @@ def _contexts(parts: int):
 
 def suffix_sort(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``text`` (row i has ``lens[i]`` bytes) and the common
-    extension of each with the one before it in that order."""
+    extension of each with the one before it in that order; both are held against
+    the bytes."""
     m, w = text.shape
     h = np.zeros((w + 1, m), U)
     for j in range(w):
@@ -265,15 +273,52 @@ def suffix_sort(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
             lo[go] = np.where(before, mid + 1, lo[go])
             hi[go] = np.where(before, hi[go], mid)
         place = np.where(left, spot, spot - run) + (lo - lo0)
-        new = np.empty_like(order)
+        new = order.copy()  # wrong hashes may leave places open
         new[place] = order
         order, run = new, 2 * run
-    lcp = np.concatenate([[0], common(order[:-1], order[1:])]) if m else np.zeros(0, np.int64)
+    lcp, right = extensions(text, lens, order)
+    if not right or (np.bincount(order, minlength=m) != 1).any():  # a hash stood for two strings
+        rows = np.column_stack([text, lens.astype(np.uint8)])
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+        lcp, _ = extensions(text, lens, order)
     return order, lcp
 
 
+def extensions(text: np.ndarray, lens: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Common extension of each row with the one before it, by bytes, and whether
+    the order is right."""
+    lcp, right = np.zeros(len(order), np.int64), True
+    for i in range(1, len(order), 20_000):
+        a, b = order[i - 1 : i + 19_999], order[i : i + 20_000]
+        a = a[: len(b)]
+        differ = text[a] != text[b]
+        k = np.where(differ.any(1), differ.argmax(1), text.shape[1])
+        k = np.minimum(k, np.minimum(lens[a], lens[b]))
+        lcp[i : i + 20_000] = k
+        at = np.minimum(k, text.shape[1] - 1)
+        right = right and bool(np.where(k == lens[a], True, (k < lens[b]) & (text[a, at] < text[b, at])).all())
+    return lcp, right
+
+
+def first_of(keys: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have the keys of another of lower rank, and that of lowest rank."""
+    by = np.lexsort((rank, *keys))
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([k[by][1:] != k[by][:-1] for k in keys])
+    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+    return by[~new], head[~new]
+
+
+def equal(ctx: np.ndarray, a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 50_000):
+        out[i : i + 50_000] = (ctx[a[i : i + 50_000], lo:hi] == ctx[b[i : i + 50_000], lo:hi]).all(1)
+    return out
+
+
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk, starts of windows that occurred earlier."""
+    """Per chunk, anchors whose surroundings came earlier (full) and starts of
+    windows that did."""
     did, at = cat(pdf["did"], np.int64), cat(pdf["at"], "<u4").astype(np.int64)
     chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) // 8 for x in pdf["did"]])
     ctx = cat(pdf["ctx"], np.uint8).reshape(len(did), -1)
@@ -281,34 +326,54 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     rank = np.empty(len(did), np.int64)
     rank[np.lexsort((at, chunk, did))] = np.arange(len(did))
     order, lcp = suffix_sort(np.ascontiguousarray(ctx[:, REACH:]), right)
-    hl = np.zeros(len(did), U)
-    found: list[tuple] = []
+
+    # equal surroundings lie together but for what is left of them
+    whole = np.empty(len(did), np.int64)
+    alike = np.concatenate([[False], (lcp[1:] == right[order[1:]]) & (right[order[1:]] == right[order[:-1]])])[: len(did)]
+    whole[order] = np.cumsum(~alike)
+    before = left.astype(U)
+    for off in range(1, REACH + 1):
+        before = before * BASE + BYTE[ctx[:, REACH - off]]
+    twin, head = first_of((left, before, whole), rank)
+    twin = twin[equal(ctx, twin, head, 0, ctx.shape[1])]
+    rest = np.ones(len(did), bool)
+    rest[twin] = False
+    full = (chunk[twin], at[twin])
+
+    # of grams with differing surroundings one anchor for each is left
+    gram = np.empty(len(did), np.int64)
+    gram[order] = np.cumsum(lcp < GRAM)
+    rest &= np.bincount(gram, rest)[gram] > 1 if len(did) else rest
+    kept = np.flatnonzero(rest[order])
+    lcp = np.minimum.reduceat(lcp, np.concatenate([[0], kept[:-1] + 1])) if len(kept) else lcp[:0]
+    pick = order[kept]
+    chunk, at, ctx, left, right, rank = chunk[pick], at[pick], ctx[pick], left[pick], right[pick], rank[pick]
+    hl = np.zeros(len(pick), U)
+    found: list[tuple] = [(chunk[:0], at[:0])]
     for off in range(REACH + 1):
         if off:
             hl = mix(hl * BASE + BYTE[ctx[:, REACH - off]])
-        run = np.empty(len(did), np.int64)
-        run[order] = np.cumsum(lcp < SPAN - off)
         ok = np.flatnonzero((left >= off) & (right >= SPAN - off))
-        by = ok[np.lexsort((rank[ok], hl[ok], run[ok]))]
-        first = np.ones(len(by), bool)
-        first[1:] = (run[by][1:] != run[by][:-1]) | (hl[by][1:] != hl[by][:-1])
-        head = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else by
-        twin, head = by[~first], head[~first]
-        same = np.ones(len(twin), bool)
-        for i in range(0, len(twin), 50_000):
-            a, b = twin[i : i + 50_000], head[i : i + 50_000]
-            same[i : i + 50_000] = (ctx[a, REACH - off : REACH - off + SPAN] == ctx[b, REACH - off : REACH - off + SPAN]).all(1)
-        found.append((chunk[twin[same]], at[twin[same]] - off))
-    ch, st = (np.concatenate(x) for x in zip(*found))
-    by = np.lexsort((st, ch))
-    out = [(int(k), np.unique(s).astype("<u4").tobytes()) for k, s in zip(*groups(ch[by], st[by]))]
-    return pd.DataFrame(out, columns=["chunk", "starts"])
+        lo, hi = REACH - off, REACH - off + SPAN
+        twin, head = first_of((hl[ok], np.cumsum(lcp < SPAN - off)[ok]), rank[ok])
+        twin, head = ok[twin], ok[head]
+        if not equal(ctx, twin, head, lo, hi).all():  # a hash stood for two strings
+            names = np.unique(np.ascontiguousarray(ctx[ok, lo:hi]).view(f"V{SPAN}").ravel(), return_inverse=True)[1]
+            twin = ok[first_of((names,), rank[ok])[0]]
+        found.append((chunk[twin], at[twin] - off))
+    out = []
+    for (ch, st), which in ((full, 0), (tuple(np.concatenate(x) for x in zip(*found)), 1)):
+        by = np.lexsort((st, ch))
+        for k, x in zip(*groups(ch[by], st[by])):
+            x = np.unique(x).astype("<u4").tobytes()
+            out.append((int(k), b"" if which else x, x if which else b""))
+    return pd.DataFrame(out, columns=["chunk", "full", "starts"])
 
 
 def _apply(batches):
     for pdf in batches:
         for row in pdf.itertuples():
-            c = Chunk(row.ids, row.lens, row.data)
+            c = Chunk(row)
             n = len(c.data)
             mark = np.zeros(n + 1, np.int32)
             full = cat(row.full, "<u4").astype(np.int64) if row.full is not None else np.zeros(0, np.int64)
@@ -332,26 +397,26 @@ def _apply(batches):
             yield pd.DataFrame({
                 "doc_id": c.ids,
                 "n_bytes": c.lens, "n_removed": total[b] - total[a], "n_spans": runs[b] - runs[a],
-                "kept_sha256": [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at, at[1:])], "none": c.ids == LAST,
+                "kept_sha256": [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at, at[1:])], "none": np.frombuffer(row.none, bool),
             })
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per input row."""
     tmp = Scratch(spark, "suffix")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    table = f"tessera_{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = 2 * parts_of(docs, 2 * PART)
+    table = f"tessera_{uuid.uuid4().hex}"
     # written bucketed, so that marks come to the chunks and texts never move again
-    docs.mapInPandas(chunks, "chunk long, ids binary, lens binary, data binary").write.bucketBy(parts, "chunk").option("compression", "zstd").saveAsTable(table)
+    frames(docs, chunks, "chunk long, ids binary, none binary, lens binary, data binary").write.bucketBy(parts, "chunk").option("compression", "zstd").saveAsTable(table)
     try:
         data = spark.table(table)
-        emitted = data.mapInPandas(_emit(parts), "part int, chunk long, h binary, c binary, did binary, at binary, own binary")
+        emitted = data.mapInPandas(_emit(parts), "part int, chunk long, h binary, at binary, own binary")
         marks = tmp.park(emitted.groupBy("part").applyInPandas(_repeats, "chunk long, full binary, check binary"), "marks")
         check = marks.where("octet_length(check) > 0").groupBy("chunk").agg(F.collect_list("check").alias("check"))
         sent = data.join(check.hint("shuffle_merge"), "chunk").select(*data.columns, "check").mapInPandas(_contexts(parts), "part int, chunk long, did binary, at binary, ctx binary, left binary, right binary")
-        starts = tmp.park(sent.groupBy("part").applyInPandas(_resolve, "chunk long, starts binary"), "starts")
-        full = marks.where("octet_length(full) > 0").select("chunk", "full", F.lit(None).cast("binary").alias("starts")).union(starts.select("chunk", F.lit(None).cast("binary"), "starts"))
+        more = tmp.park(sent.groupBy("part").applyInPandas(_resolve, "chunk long, full binary, starts binary"), "starts")
+        full = marks.where("octet_length(full) > 0").select("chunk", "full", F.lit(b"").alias("starts")).union(more)
         full = full.groupBy("chunk").agg(F.collect_list("full").alias("full"), F.collect_list("starts").alias("starts"))
         out = data.join(full.hint("shuffle_merge"), "chunk", "left").select(*data.columns, "full", "starts")
         out = out.mapInPandas(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, none boolean")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary
-from .kit import Scratch, blocks, checked_small, frames
+from .kit import Scratch, blocks, checked_small, frames, parts_of
 
 SPACE = re.compile(r"[\x09-\x0D\x20]+")
 
@@ -339,9 +339,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end: int = 1) -> None:
             yield pd.DataFrame({"block": [pack(docs_, np.concatenate(parts))]})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(stored // PART, 100_000))
-    docs = docs.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    docs = docs.repartitionByRange(parts_of(docs, PART), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     frames(docs, run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import ann, bpe, chat, decontaminate, neardup, secrets, suffix, tokenfile, toxicity, warc
@@ -115,6 +116,40 @@ def test_suffix_sort():
     assert lcp[1:].tolist() == [common(a, b) for a, b in zip(rows, rows[1:])]
 
 
+def removed_in_process(texts, parts=3):
+    """The steps of suffix.repeats without Spark."""
+    pdf = pd.DataFrame({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts]})
+    data = pd.concat(suffix.chunks(iter([pdf])))
+    by = lambda f, df: pd.concat([f(g) for _, g in df.groupby("part")])
+    marks = by(suffix._repeats, pd.concat(suffix._emit(parts)(iter([data]))))
+    each = lambda df, c: {k: [x for x in g[c] if x] for k, g in df.groupby("chunk")}
+    some = data.assign(check=data["chunk"].map(each(marks, "check")))
+    more = by(suffix._resolve, pd.concat(suffix._contexts(parts)(iter([some[some["check"].map(len) > 0]]))))
+    all_ = pd.concat([marks.assign(starts=b"")[["chunk", "full", "starts"]], more])
+    out = pd.concat(suffix._apply(iter([data.assign(**{c: data["chunk"].map(each(all_, c)).map(lambda x: x if isinstance(x, list) else []) for c in ("full", "starts")})])))
+    return {r.doc_id: r.n_removed for r in out.itertuples()}
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_suffix_verifies_hashes(monkeypatch, weak):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdef ") for _ in range(400))
+    texts = [(i, "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) + line[rng.randint(0, 60) : rng.randint(200, 400)] + rng.choice(["", line[:130], "x" * 130])) for i in range(25)]
+    seen, want = set(), {}
+    for i, t in texts:
+        b, m = t.encode(), bytearray(len(t))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                m[p : p + 100] = b"\x01" * 100
+            seen.add(b[p : p + 100])
+        want[i] = sum(m)
+    monkeypatch.setattr(suffix.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(suffix, "CHUNK", 1500)
+    if weak:  # hashes that tell next to nothing
+        monkeypatch.setattr(suffix, "BYTE", np.ones(256, np.uint64))
+    assert removed_in_process(texts) == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "[INST] <s> \\ </s> >>"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (3, 0, None, "x"), (None, 0, "system", "é<<"), (1, 1, "assistant", "again"), (4, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, chain long")
