@@ -7,8 +7,6 @@ an aggregate is refused.  The rewrite enters scalar, IN and EXISTS subqueries.""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,7 +191,7 @@ def govern(query: DataFrame | str, governed: DataFrame, c: Compiled, caller: Cal
     rw = Rewriter(spark)
     plan = df._jdf.queryExecution().analyzed()
     charges: dict[str, float] = {}
-    read = columns_read(df)
+    read = columns_read(rw, plan, governed)
     for s in shapes:
         if s.operator == "noise" and s.params["at"] == "row" and s.column in read:
             charges[s.params["budget"]] = max(charges.get(s.params["budget"], 0.0), float(s.params["epsilon"]))
@@ -224,15 +222,55 @@ def govern(query: DataFrame | str, governed: DataFrame, c: Compiled, caller: Cal
         plan = rw.suppress(plan, max(ks))
         if not grouped:
             out = rw.frame(plan)
-            size = out.agg(F.count(F.lit(1)).alias("__n"))
+            size = out.limit(max(ks)).agg(F.count(F.lit(1)).alias("__n"))  # k rows are enough to know
             return out.join(F.broadcast(size.where(F.col("__n") >= max(ks)).drop("__n").select(F.lit(1).alias("__ok"))), F.lit(True), "left_semi"), charges
     return rw.frame(plan), charges
 
 
-def columns_read(df: DataFrame) -> set[str]:
-    """Names of the columns that the optimised plan still mentions."""
-    text = df._jdf.queryExecution().optimizedPlan().toString()
-    return set(re.findall(r"([A-Za-z_]\w*)#\d+", text.split("+- ", 1)[-1]))
+def columns_read(rw: Rewriter, plan, governed: DataFrame) -> set[str]:
+    """Names of the view's columns that an analysed query depends on, by following
+    attributes from its output down to the view's projection; other tables' columns
+    of equal names do not count.  What lies in a common table expression counts whole."""
+    views = [a.name() for a in _seq(governed._jdf.queryExecution().analyzed().output())]
+    output = lambda p: {a.exprId().id() for a in _seq(p.output())}
+    found: set[str] = set()
+
+    def queries(e):
+        if rw.is_query(e):
+            follow(e.plan(), output(e.plan()))
+        for k in _seq(e.children()):
+            queries(k)
+
+    def follow(p, need: set[int]) -> None:
+        name, kids, exprs = rw.kind(p), _seq(p.children()), _seq(p.expressions())
+        if name == "Project" and [a.name() for a in _seq(p.output())] == views:
+            found.update(a.name() for a in _seq(p.output()) if a.exprId().id() in need)
+            return
+        for e in exprs:
+            queries(e)
+        if name == "WithCTE":
+            for d in _seq(p.cteDefs()):
+                follow(d.child(), output(d.child()))
+            follow(p.plan(), need)
+            return
+        if name == "Union":
+            at = [i for i, a in enumerate(_seq(p.output())) if a.exprId().id() in need]
+            for k in kids:
+                out = _seq(k.output())
+                follow(k, {out[i].exprId().id() for i in at})
+            return
+        if name in ("Project", "Aggregate"):
+            # what is computed but not asked for is not read
+            exprs = _seq(p.projectList()) if name == "Project" else _seq(p.aggregateExpressions())
+            exprs = [e for e in exprs if e.exprId().id() in need] + ([] if name == "Project" else _seq(p.groupingExpressions()))
+            need = set()
+        for e in exprs:
+            need = need | rw.ids(e)
+        for k in kids:
+            follow(k, output(k) if name in ("Distinct", "Intersect", "Except", "Deduplicate") else need)
+
+    follow(plan, output(plan))
+    return found
 
 
 __all__ = ["govern", "view"]

@@ -21,43 +21,46 @@ def make(df, expose, rules, **more):
 
 
 @pytest.fixture(scope="module")
-def profile(spark):
+def gauges(spark):
+    """River gauges: each column has nulls, and edges of its type."""
     utc = lambda *a: datetime(*a, tzinfo=timezone.utc)
     rows = [
-        (0, "Amina", 0.5, 1, "acme", utc(2024, 1, 1), ["a", "b"], [1, 2, 3], b"abc"),
-        (1, "héllo wörld", -1.25, -7, "globex", utc(2024, 2, 29, 23, 59, 59), [], [], b""),
-        (2, None, None, 0, "acme", utc(1999, 12, 31, 12, 30, 5), None, [-5], None),
-        (3, "", 1e10, None, None, None, ["acme"], [10, 20], b"\x00\xff"),
-        (4, "Otieno", 0.0, 2147483647, "initech", utc(2030, 7, 4, 6, 7, 8), ["x", "globex", None], [0], b"hello"),
-        (5, 'a"b\\c\n', -0.0, -1, "globex", utc(1970, 1, 1), ["b"], [7, 7], b"x"),
+        (10, "Weir 7", 2.25, 14, "north", utc(2023, 6, 30, 6, 0, 1), ["weir", "low"], [4, 8, 15], b"\x01\x02\x03"),
+        (11, None, -0.0, 0, "south", None, [], [16], b""),
+        (12, "crue-été", float(2**60), -12, None, utc(2025, 3, 31, 23, 0, 0), ["north", None], [], None),
+        (13, "", None, None, "north", utc(1985, 5, 17, 17, 45, 9), None, None, b"gauge"),
+        (14, "tab\tend\n", -8.5, -2147483648, "east", utc(2024, 12, 30, 0, 0, 0), ["e"], [23, -42], b"\xfe"),
+        (15, "ab'c\"d", 0.125, 77, "south", utc(2000, 2, 29, 12, 0, 0), ["ford", "high", "south"], [1, 1], b"0"),
+        (16, "254700000001", 1e-300, 5, "south", utc(2024, 1, 1, 9, 30, 0), ["ford"], [2], b"zz"),
     ]
-    return spark.createDataFrame(rows, "id long, name string, score double, n int, tenant string, at timestamp, tags array<string>, nums array<long>, blob binary")
+    return spark.createDataFrame(rows, "id long, label string, level double, hits int, basin string, seen timestamp, marks array<string>, runs array<long>, raw binary")
 
 
 TESTS = [
-    "row.n > 0 && row.score >= 0.0", "row.n / 2 * 2 + row.n % 2 == row.n", "-row.n < 3 || row.name == 'x'", "row.name.startsWith('A') || row.name.contains('ö')", "size(row.name) > 3",
-    "row.name.matches('^[A-Z].*o$')", "row.name.matches('c$')", "'a' in row.tags", "row.tags.exists(t, t == row.tenant)", "row.tags.all(t, size(t) < 2)", "row.nums.filter(x, x > 1).map(y, y * 2).size() > 1",
-    "row.tenant in ['acme', 'globex']", "has(row.tags) && has(row.name)", "!has(row.name) || row.name != ''", "row.at.getFullYear() > 2000 && row.at.getDayOfWeek() == 1", "row.at.getMonth() == 0", "row.at.getDayOfYear() > 50",
-    "row.at + duration('36h') > timestamp('2024-01-01T00:00:00Z')", "row.at - timestamp('2024-01-01T00:00:00Z') < duration('1h30m')", "row.score / 0.0 > 1.0", "double(row.n) * 0.5 > 1.0", "string(row.n) + row.name != 'x'", "hash_sha256(row.blob) != ''",
-    "size(row.blob) > 2", "is_email(row.name) || is_msisdn('254712345678')", "(row.score > 0.0 ? row.name : null) == 'Amina'", "int(row.score) == 0",
+    "row.hits >= 5 || row.level < 0.0", "row.hits / 3 * 3 + row.hits % 3 == row.hits", "-row.id < -12 && row.label != 'y'", "row.label.endsWith('7') || row.label.contains('été')", "size(row.label) <= 6",
+    "row.label.matches('^[a-zA-Z]+[ -]')", "row.label.matches('d$')", "'ford' in row.marks", "row.marks.exists(m, m == row.basin)", "row.marks.all(m, size(m) > 1)", "row.runs.filter(r, r > 3).map(r, r + 1).size() == 2",
+    "row.basin in ['north', 'east']", "has(row.runs) || has(row.raw)", "has(row.basin) && row.basin != 'east'", "row.seen.getFullYear() < 2024 || row.seen.getDayOfWeek() == 0", "row.seen.getMonth() == 11", "row.seen.getDayOfYear() < 100",
+    "row.seen - duration('24h') < timestamp('2024-06-01T00:00:00Z')", "row.seen - timestamp('2000-01-01T00:00:00Z') > duration('90m')", "row.level / 0.0 < 0.0", "double(row.hits) * 0.25 < 2.0", "string(row.id) + row.label == '15'", "hash_sha256(row.raw) == hash_sha256(row.raw)",
+    "size(row.raw) == 1", "is_msisdn(row.label) || is_email('a@b.org')", "(row.level > 1.0 ? row.basin : null) == 'north'", "int(row.level) == 2", "int(string(row.hits)) > 0", "size([row.id, 3, 4]) == 3",
 ]
 
 
-def test_differential(profile):
+def test_differential(gauges):
+    gauges = gauges.where("level is null or abs(level) < 1e18")  # int() of more is an error in both
     rules = [{"id": f"a{i}", "op": "assert", "expr": e, "on_fail": "report"} for i, e in enumerate(TESTS)]
-    rules += [{"id": "t", "op": "transform", "column": "name", "expr": "row.n > 0 ? partial(row.name, 2) : (ctx.tenant == 'acme' ? redact(row.name) : null)"}, {"id": "m", "op": "admit", "expr": "row.tenant == ctx.tenant || 'admin' in ctx.roles"}]
-    c = make(profile, {"name": "utf8"}, rules)
-    d = differential(profile, c, [Caller("a", "acme", now=NOW), Caller("b", "globex", roles=["admin"], now=NOW)])
+    rules += [{"id": "t", "op": "transform", "column": "label", "expr": "row.hits < 10 ? partial(row.label, 3) : (ctx.tenant == 'north' ? redact(row.label) : null)"}, {"id": "m", "op": "admit", "expr": "row.basin == ctx.tenant || 'warden' in ctx.roles"}]
+    c = make(gauges, {"label": "utf8"}, rules)
+    d = differential(gauges, c, [Caller("p", "north", now=NOW), Caller("q", "east", roles=["warden"], now=NOW)])
     assert d["mismatches"] == []
-    assert d["evaluations"] == 2 * 6 * 29
+    assert d["evaluations"] == 2 * 6 * (len(TESTS) + 2)
 
 
-def test_view_refuses_and_filters(profile):
-    rules = [{"id": "who", "op": "decide", "expr": "ctx.purpose == 'analytics'", "message": "no"}, {"id": "own", "op": "admit", "expr": "row.tenant == ctx.tenant"}]
-    c = make(profile, {"id": "int64"}, rules)
-    assert [r.id for r in view(profile, c, Caller(tenant="acme")).orderBy("id").collect()] == [0, 2]
-    with pytest.raises(Refused, match="no"):
-        view(profile, c, Caller(purpose="ads"))
+def test_view_refuses_and_filters(gauges):
+    rules = [{"id": "who", "op": "decide", "expr": "ctx.purpose == 'analytics'", "message": "not for this"}, {"id": "own", "op": "admit", "expr": "row.basin == ctx.tenant"}]
+    c = make(gauges, {"id": "int64"}, rules)
+    assert [r.id for r in view(gauges, c, Caller(tenant="south")).orderBy("id").collect()] == [11, 15, 16]
+    with pytest.raises(Refused, match="not for this"):
+        view(gauges, c, Caller(purpose="sale"))
 
 
 def test_pushdown(spark, tmp_path):
@@ -69,10 +72,10 @@ def test_pushdown(spark, tmp_path):
     assert "EqualTo(t,1)" in plan and "GreaterThan(b,10)" in plan and "unused" not in plan.split("ReadSchema")[1]
 
 
-def test_missing_caller_field_fails_closed(profile):
-    c = make(profile, {"id": "int64"}, [{"id": "r", "op": "decide", "expr": "ctx.other.x == 'y'"}], extensions={"ctx": {"x": "utf8"}})
+def test_missing_caller_field_fails_closed(gauges):
+    c = make(gauges, {"id": "int64"}, [{"id": "r", "op": "decide", "expr": "ctx.other.x == 'y'"}], extensions={"ctx": {"x": "utf8"}})
     with pytest.raises(Refused):
-        view(profile, c, Caller())
+        view(gauges, c, Caller())
 
 
 def test_verdict_and_query_time_guarantee(spark):
@@ -89,37 +92,58 @@ def test_verdict_and_query_time_guarantee(spark):
 
 
 @pytest.fixture(scope="module")
-def payroll(spark):
-    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN 'legal' ELSE element_at(array('eng', 'ops', 'sales'), cast(id % 3 AS int) + 1) END AS dept", "50000 + 10 * id AS salary", "cast(id % 7 AS double) AS bonus")
-    un = {"unless": "ctx.tenant == 'hr'"}
+def stays(spark):
+    """Hospital stays: four wards of about equal size and one of 15 stays."""
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 200 = 7 THEN 'burns' ELSE concat('ward-', pmod(hash(id), 4)) END AS ward", "1 + id % 23 AS nights", "120.5 + cast(id AS double) AS cost")
+    free = {"unless": "'auditor' in ctx.roles"}
     rules = [
-        {"id": "s", "op": "shape", "operator": "sample", "params": {"fraction": 0.25, "key": "id"}, **un},
-        {"id": "r", "op": "shape", "operator": "noise", "column": "salary", "params": {"sensitivity": 1000, "epsilon": 1.0, "budget": "payroll", "at": "row"}, **un},
-        {"id": "b", "op": "shape", "operator": "noise", "column": "bonus", "params": {"sensitivity": 10, "epsilon": 0.5, "budget": "bonus"}, **un},
-        {"id": "k", "op": "shape", "operator": "suppress", "params": {"k": 30}, **un},
+        {"id": "part", "op": "shape", "operator": "sample", "params": {"fraction": 0.5, "key": "id"}, **free},
+        {"id": "blur", "op": "shape", "operator": "noise", "column": "nights", "params": {"sensitivity": 30, "epsilon": 2.0, "budget": "stays", "at": "row"}, **free},
+        {"id": "sums", "op": "shape", "operator": "noise", "column": "cost", "params": {"sensitivity": 500, "epsilon": 0.25, "budget": "money"}, **free},
+        {"id": "few", "op": "shape", "operator": "suppress", "params": {"k": 25}, **free},
     ]
-    return df, make(df, {"id": "int64", "dept": "utf8", "salary": "int64", "bonus": "float64"}, rules)
+    return df, make(df, {"id": "int64", "ward": "utf8", "nights": "int64", "cost": "float64"}, rules)
 
 
-def test_shapes(spark, payroll):
-    df, c = payroll
-    assert view(df, c, Caller(tenant="hr")).count() == 2000
+def test_shapes(spark, stays):
+    df, c = stays
+    assert view(df, c, Caller(roles=["auditor"])).count() == 3000
     v = view(df, c, Caller())
-    assert 350 < v.count() < 650
-    v.createOrReplaceTempView("payroll")
-    q, charges = govern("SELECT dept, count(*) AS n, sum(bonus) AS b FROM payroll GROUP BY dept", v, c, Caller())
-    rows = {r.dept: r for r in q.collect()}
-    assert "legal" not in rows and len(rows) == 3 and charges == {"bonus": 0.5}
-    true = {r.dept: r.b for r in spark.sql("SELECT dept, sum(bonus) AS b FROM payroll GROUP BY dept").collect()}
-    assert all(rows[d].b != true[d] for d in rows)
-    _, charges = govern("SELECT dept, max(salary) AS m FROM payroll GROUP BY dept", v, c, Caller())
-    assert charges == {"payroll": 1.0}
-    assert govern("SELECT id FROM payroll WHERE id < 40", v, c, Caller())[0].count() == 0
-    for bad in ("SELECT bonus FROM payroll", "SELECT bonus, count(*) FROM payroll GROUP BY bonus", "SELECT count(*) FROM payroll WHERE bonus > 3", "SELECT sum(bonus) FROM payroll UNION ALL SELECT bonus FROM payroll", "SELECT sum(bonus) OVER () FROM payroll"):
+    assert 1350 < v.count() < 1650
+    v.createOrReplaceTempView("stays")
+    q, charges = govern("SELECT ward, avg(cost) AS mean, count(*) AS n FROM stays GROUP BY ward", v, c, Caller())
+    got = {r.ward: r.mean for r in q.collect()}
+    assert sorted(got) == [f"ward-{i}" for i in range(4)] and charges == {"money": 0.25}
+    true = {r.ward: r.mean for r in spark.sql("SELECT ward, avg(cost) AS mean FROM stays GROUP BY ward").collect()}
+    assert all(got[w] != true[w] for w in got)
+    assert govern("SELECT ward, min(nights) AS m FROM stays GROUP BY ward", v, c, Caller())[1] == {"stays": 2.0}
+    assert govern("SELECT ward, id FROM stays WHERE id < 20", v, c, Caller())[0].count() == 0
+    assert govern("SELECT id FROM stays", v, c, Caller())[0].count() == v.count()
+    for bad in ("SELECT id, cost FROM stays", "SELECT cost FROM stays GROUP BY cost", "SELECT ward FROM stays WHERE cost < 200", "SELECT max(cost) FROM stays UNION SELECT cost FROM stays", "SELECT min(cost) OVER (PARTITION BY ward) FROM stays"):
         with pytest.raises(ContractError):
             govern(bad, v, c, Caller())
 
 
+def test_charges_of_wide_and_foreign_columns(spark, tmp_path):
+    spark.range(60).selectExpr("id", *[f"id * {i} AS w{i}" for i in range(40)]).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    noise = {"id": "n", "op": "shape", "operator": "noise", "column": "w35", "params": {"sensitivity": 1, "epsilon": 0.5, "budget": "b", "at": "row"}}
+    c = make(df, {x: "int64" for x in df.columns}, [noise])
+    v = view(df, c, Caller())
+    v.createOrReplaceTempView("wide")
+    spark.range(60).selectExpr("id", "id AS w35").write.parquet(str(tmp_path / "other"))
+    spark.read.parquet(str(tmp_path / "other")).createOrReplaceTempView("other")
+    charge = lambda q: govern(q, v, c, Caller())[1]
+    assert charge("SELECT * FROM wide") == {"b": 0.5}
+    assert charge("SELECT w34, sum(w35) AS s FROM wide GROUP BY w34") == {"b": 0.5}
+    assert charge("SELECT w34 FROM wide WHERE id IN (SELECT id FROM wide WHERE w35 > 3)") == {"b": 0.5}
+    assert charge("SELECT w34, w36 FROM wide") == {} and charge("SELECT count(*) FROM wide") == {}
+    assert charge("WITH t AS (SELECT id, w35 AS z FROM wide) SELECT max(z) FROM t") == {"b": 0.5}
+    assert charge("SELECT id FROM wide UNION ALL SELECT w35 FROM wide") == {"b": 0.5}
+    assert charge("SELECT z.id FROM wide z JOIN wide y ON z.id = y.w35") == {"b": 0.5}
+    assert charge("SELECT other.w35 FROM wide JOIN other ON wide.id = other.id") == {}
+
+
 def test_write_and_read_back(spark, tmp_path):
     df = spark.range(50).selectExpr("id", "string(id % 2) AS t", "'x' || id AS name")
     c = make(df, {"id": "int64", "name": "utf8"}, [{"id": "low", "op": "assert", "expr": "row.id < 40", "on_fail": "drop"}, {"id": "own", "op": "admit", "expr": "row.t == ctx.tenant && row.name.matches('1')"}])
