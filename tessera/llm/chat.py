@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import frames
+from .kit import frames, table
 
 CHARS = 1_000_000
 #: fixed values: the template's control strings and their escapes
@@ -173,7 +173,7 @@ def unpack(blocks: DataFrame) -> DataFrame:
                     under = unescape("".join(ids[at][m].tobytes().decode("utf-32-le", "surrogatepass")))
                     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((int(conv) if numbered else None, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(text)))
-                yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": object})
+                yield table(out, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "conv_id")
 
     return frames(blocks, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -70,11 +70,18 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterable[pd.Da
     def inner(batches):
         given = (b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches)
         for out in run(given):
-            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return df.mapInArrow(inner, want)
 
 
+def table(rows: list[tuple], columns: list[str], *ids: str) -> pd.DataFrame:
+    """A frame of rows, those columns of ``ids`` as integers beside nulls."""
+    cols = dict(zip(columns, zip(*rows))) if rows else dict.fromkeys(columns, ())
+    return pd.DataFrame({c: pd.array(list(v), dtype="Int64") if c in ids else list(v) for c, v in cols.items()})
+
+
 def parts_of(df: DataFrame, size: int) -> int:
     """Partitions of about ``size`` stored bytes each, the session's shuffle
     partitions at least; those alone where Spark knows no size (no file behind)."""

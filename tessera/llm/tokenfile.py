@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary
-from .kit import Scratch, blocks, checked_small, frames, parts_of
+from .kit import Scratch, blocks, checked_small, frames, parts_of, table
 
 SPACE = re.compile(r"[\x09-\x0D\x20]+")
 
@@ -360,7 +360,7 @@ def read_tokens(spark: SparkSession, path: str, tmp: Scratch) -> DataFrame:
                         if not more:
                             out.append((name, None if null else d, begun, at - begun, crc))
                             begun, crc = at, 0
-                    yield pd.DataFrame(out, columns=["file", "doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": object})
+                    yield table(out, ["file", "doc_id", "at", "n_tokens", "ids_crc32"], "doc_id")
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     rows = tmp.park(frames(files, run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "rows")

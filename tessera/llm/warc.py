@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Scratch, checked_small, frames
+from .kit import Scratch, checked_small, frames, table
 
 END = b"\r\n\r\n"
 ROW, ROWS = 2_000_000, 32
@@ -262,8 +262,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield frame(out)
 
     def frame(rows):
-        df = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-        return df.astype({"page_id": object, "refers_to": object})
+        return table(rows, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"], "page_id", "refers_to")
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return frames(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
