@@ -7,6 +7,9 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
+from importlib import resources
+from pathlib import Path
 from typing import Any
 
 import yaml
@@ -46,7 +49,7 @@ class Document:
     owner: str | None = None
     inherits: str | None = None
     binding: dict = field(default_factory=dict)
-    residency: list[str] | None = None
+    residency: dict | None = None
     expose: list[dict] | None = None
     rules: list[Rule] = field(default_factory=list)
     extensions: dict = field(default_factory=dict)
@@ -64,12 +67,23 @@ class Document:
         return digest(self.plain())
 
     def permits(self, code: str) -> bool:
-        """Whether data may be placed in a country; ``EU`` stands for its members."""
-        terms = self.residency or []
-        return code.upper() in terms or code.upper() in EU and "EU" in terms
+        """Whether data may be placed in a country or zone; without terms, nowhere."""
+        return code in (self.residency or {}).get("jurisdictions", ())
+
+    @property
+    def output_may_leave(self) -> bool:
+        """Whether approved output may go elsewhere than the data."""
+        return bool((self.residency or {}).get("approved_output_may_leave"))
 
 
-EU = set("AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split())
+@lru_cache
+def jurisdictions() -> frozenset[str]:
+    """Two-letter country codes of the time zone database's list, and the zone EU."""
+    try:
+        text = resources.files("tzdata").joinpath("zoneinfo", "iso3166.tab").read_text("utf-8")
+    except (ImportError, FileNotFoundError):
+        text = Path("/usr/share/zoneinfo/iso3166.tab").read_text("utf-8")
+    return frozenset(["EU", *(line[:2] for line in text.splitlines() if line[:1] != "#" and line[2:3] == "\t")])
 
 
 def digest(value: Any) -> str:
@@ -146,11 +160,7 @@ class Reader:
                 self.bad(f"not a table: `{b['iceberg']}`", "binding", "iceberg", help="write namespace.table")
             out.binding = b
         if d.get("residency") is not None:
-            r = d["residency"]
-            if not isinstance(r, list) or not r or not all(isinstance(x, str) and re.fullmatch(r"[A-Z]{2}", x) for x in r) or len(set(r)) < len(r):
-                self.bad("residency lists two-letter country codes or EU", "residency", code="residency")
-            else:
-                out.residency = sorted(r)
+            out.residency = self.residency(d["residency"])
         if d.get("expose") is not None:
             out.expose = self.columns(d["expose"])
         for i, r in enumerate(d.get("rules") or []):
@@ -173,6 +183,22 @@ class Reader:
             raise ContractError(*self.problems)
         return out
 
+    def residency(self, r) -> dict | None:
+        """Terms of placement; a bare list is its jurisdictions."""
+        r = {"jurisdictions": r} if isinstance(r, list) else r
+        if not self.keys(r, ("jurisdictions", "approved_output_may_leave"), "residency"):
+            return None
+        codes, leave = r.get("jurisdictions"), r.get("approved_output_may_leave", False)
+        if not isinstance(codes, list) or not codes:
+            self.bad("residency names at least one jurisdiction", "residency", code="residency")
+            return None
+        for x in codes:
+            if x not in jurisdictions():
+                self.bad(f"unknown jurisdiction `{x}`", "residency", code="residency", help="write a two-letter country code, or EU")
+        if not isinstance(leave, bool):
+            self.bad("approved_output_may_leave is true or false", "residency", code="residency")
+        return {"jurisdictions": sorted(set(map(str, codes)))} | ({"approved_output_may_leave": True} if leave is True else {})
+
     def type(self, t, *path):
         try:
             return parse_type(str(t))
@@ -237,9 +263,9 @@ def resolve(doc: Document, lookup) -> Document:
             if d.binding and d.binding != out.binding:
                 raise fail("inheritance", f"`{d.contract}` binds other data than its parent")
             if d.residency is not None:
-                wide = [r for r in d.residency if out.residency is not None and not out.permits(r) and r not in out.residency]
-                if wide:
-                    raise fail("inheritance", f"`{d.contract}` allows {', '.join(wide)}, which its parent does not")
+                wide = [] if out.residency is None else [r for r in d.residency["jurisdictions"] if not out.permits(r)]
+                if wide or out.residency is not None and d.output_may_leave and not out.output_may_leave:
+                    raise fail("inheritance", f"`{d.contract}` allows {', '.join(wide) or 'approved output to leave'}, which its parent does not")
                 out.residency = d.residency
             if d.expose is not None:
                 have = {c["name"]: c["type"] for c in out.expose}
@@ -275,10 +301,11 @@ def json_schema() -> dict:
     column = {"type": "object", "properties": {"name": text, "type": text, "description": text}, "required": ["name", "type"], "additionalProperties": False}
     bind = {"type": "object", "properties": {"parquet": text, "iceberg": text, "partitioned_by": {"type": "array", "items": text}}, "additionalProperties": False}
     part = {"type": "object", "additionalProperties": text}
+    codes = {"type": "array", "minItems": 1, "items": {"type": "string", "pattern": "^[A-Z]{2}$"}}
     return {
         "$schema": "https://json-schema.org/draft/2020-12/schema", "title": "Contract", "type": "object", "required": ["contract", "version"], "additionalProperties": False,
         "properties": {
-            "contract": text, "version": {"type": ["integer", "string"]}, "owner": text, "inherits": text, "binding": bind, "residency": {"type": "array", "items": {"type": "string", "pattern": "^[A-Z]{2}$"}},
+            "contract": text, "version": {"type": ["integer", "string"]}, "owner": text, "inherits": text, "binding": bind, "residency": {"anyOf": [codes, {"type": "object", "properties": {"jurisdictions": codes, "approved_output_may_leave": {"type": "boolean"}}, "required": ["jurisdictions"], "additionalProperties": False}]},
             "expose": {"type": "array", "items": column}, "rules": {"type": "array", "items": {"oneOf": rules}}, "extensions": {"type": "object", "properties": {k: part for k in ("row", "ctx", "dataset")}, "additionalProperties": False},
             "enrich": {"type": "array", "items": {"type": "object", "properties": {"field": text, "expr": expr}, "required": ["field", "expr"], "additionalProperties": False}},
             "dataset_other": {"type": "array", "items": {"type": "object", "properties": {"field": text, "expr": expr, "value": {}}, "required": ["field"], "additionalProperties": False}},

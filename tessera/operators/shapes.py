@@ -3,10 +3,12 @@ of noised columns get noise, by rewriting the analysed plan.
 
 Lineage is followed by attribute id, not by name: a noised column that reaches the
 result, a predicate, a group or join key, a window or DISTINCT other than through
-an aggregate is refused.  The rewrite enters scalar, IN and EXISTS subqueries."""
+an aggregate is refused.  The rewrite enters scalar, IN and EXISTS subqueries of
+any node, and common table expressions, which it writes out where they are used."""
 
 from __future__ import annotations
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,25 +72,64 @@ class Rewriter:
         if kids and any(a is not b for a, b in zip(kids, new)):
             plan = plan.withNewChildren(self.jseq(new))
         if any(self.has_query(e) for e in _seq(plan.expressions())):
-            name, ls = self.kind(plan), self.jvm.org.apache.spark.sql.catalyst.plans.logical
-            if name == "Filter":
-                plan = ls.Filter(self.subqueries(plan.condition(), visit), plan.child())
-            elif name == "Project":
-                plan = ls.Project(self.jseq([self.subqueries(e, visit) for e in _seq(plan.projectList())]), plan.child())
-            else:
-                raise fail("unsupported", f"a subquery within {name} of a governed query")
+            plan = self.copy(plan, lambda e: self.subqueries(e, visit))
         return plan
 
+    def copy(self, plan, change):
+        """``plan`` with each of its expressions changed, however the node holds them."""
+        gateway = self.spark.sparkContext._gateway
+        is_a = lambda x, name: hasattr(x, "getClass") and is_instance_of(gateway, x, name)
+
+        def arg(x):
+            if is_a(x, "org.apache.spark.sql.catalyst.expressions.Expression"):
+                return change(x)
+            if is_a(x, "scala.collection.immutable.Seq"):
+                return self.jseq([arg(i) for i in _seq(x)])
+            if is_a(x, "scala.Some"):
+                return self.jvm.scala.Some(arg(x.get()))
+            return x
+
+        args = gateway.new_array(self.jvm.java.lang.Object, plan.productArity())
+        for i in range(plan.productArity()):
+            args[i] = arg(plan.productElement(i))
+        return plan.makeCopy(args)
+
+    def inline(self, plan):
+        """Common table expressions written out; recursive ones stay loops."""
+        if not any(self.kind(n) == "WithCTE" for n in self.nodes(plan)):
+            return plan
+        return self.jvm.org.apache.spark.sql.catalyst.optimizer.InlineCTE(True, False).apply(plan)
+
+    def groups(self, plan) -> bool:
+        """Whether a node makes one row of several."""
+        name = self.kind(plan)
+        return name in ("Aggregate", "Distinct", "Deduplicate") or name in ("Intersect", "Except") and not plan.isAll()
+
+    def grouped(self, child, keys: list):
+        """An aggregate that keeps one row of each combination of ``keys``."""
+        ls, exprs = self.jvm.org.apache.spark.sql.catalyst.plans.logical, self.jvm.org.apache.spark.sql.catalyst.expressions
+        ids = {k.exprId().id() for k in keys}
+        some = lambda a: self.alias(exprs.aggregate.First(a, False).toAggregateExpression(), a.name(), a.exprId())
+        out = [a if a.exprId().id() in ids else some(a) for a in _seq(child.output())]
+        return ls.Aggregate(self.jseq(keys), self.jseq(out), child, self.jvm.scala.Option.empty())
+
     def suppress(self, plan, k: int):
-        """Groups under ``k`` rows go, in every aggregate and DISTINCT."""
+        """Groups under ``k`` rows go, in every aggregate, DISTINCT and Deduplicate, and
+        of the left side of INTERSECT and EXCEPT, whose rows they make distinct."""
         ls = self.jvm.org.apache.spark.sql.catalyst.plans.logical
         visit = lambda p: self.suppress(p, k)
         plan = self.rebuild(plan, visit)
-        if self.kind(plan) == "Distinct":
-            out = _seq(plan.child().output())
-            plan = ls.Aggregate(self.jseq(out), self.jseq(out), plan.child(), self.jvm.scala.Option.empty())
-        if self.kind(plan) != "Aggregate":
-            return plan
+        name = self.kind(plan)
+        if name in ("Intersect", "Except") and not plan.isAll():
+            left = self.large(self.grouped(plan.left(), _seq(plan.left().output())), k)
+            return plan.withNewChildren(self.jseq([left, plan.right()]))
+        if name in ("Distinct", "Deduplicate"):
+            plan = self.grouped(plan.child(), _seq(plan.child().output() if name == "Distinct" else plan.keys()))
+        return self.large(plan, k) if self.kind(plan) == "Aggregate" else plan
+
+    def large(self, plan, k: int):
+        """An aggregate's groups of ``k`` rows or more."""
+        ls = self.jvm.org.apache.spark.sql.catalyst.plans.logical
         out = _seq(plan.output())
         size = self.named("count(1)", "__group_size")
         inner = ls.Aggregate(plan.groupingExpressions(), self.jseq([*_seq(plan.aggregateExpressions()), size]), plan.child(), plan.hint())
@@ -107,24 +148,31 @@ class Rewriter:
     def ids(self, e) -> set[int]:
         return {a.exprId().id() for a in _seq(e.references().toSeq())}
 
-    def noise(self, plan, tainted: dict[int, float], used: set[int]):
+    def noise(self, plan, tainted: dict[int, frozenset], scales: dict[str, float], used: set[str]):
         """``plan`` with noise above aggregates that read tainted attributes;
-        ``tainted`` (attribute id -> scale) grows by what is derived from them."""
-        plan = self.rebuild(plan, lambda p: self.noise(p, tainted, used))
+        ``tainted`` (attribute id -> noised columns) grows by what is derived from
+        them, ``used`` by the columns that aggregates read."""
+        plan = self.rebuild(plan, lambda p: self.noise(p, tainted, scales, used))
         name = self.kind(plan)
         ls = self.jvm.org.apache.spark.sql.catalyst.plans.logical
         reads = lambda e: self.ids(e) & set(tainted)
-        if name in ("Project", "SubqueryAlias", "View", "Union"):
+        origin = lambda hit: frozenset().union(*(tainted[i] for i in hit))
+        if name in ("Project", "SubqueryAlias", "View", "Union", "Expand"):
             if name == "Project":
                 for e in _seq(plan.projectList()):
                     hit = reads(e)
                     if hit:
-                        tainted[e.exprId().id()] = max(tainted[i] for i in hit)
+                        tainted[e.exprId().id()] = origin(hit)
             if name == "Union":
                 for i, o in enumerate(_seq(plan.output())):
                     hit = {_seq(k.output())[i].exprId().id() for k in _seq(plan.children())} & set(tainted)
                     if hit:
-                        tainted[o.exprId().id()] = max(tainted[x] for x in hit)
+                        tainted[o.exprId().id()] = origin(hit)
+            if name == "Expand":  # grouping sets: the rows of each set side by side
+                for i, o in enumerate(_seq(plan.output())):
+                    hit = set().union(*(reads(_seq(row)[i]) for row in _seq(plan.projections())))
+                    if hit:
+                        tainted[o.exprId().id()] = origin(hit)
             return plan
         if name != "Aggregate":
             for e in _seq(plan.expressions()):
@@ -142,12 +190,12 @@ class Rewriter:
                 outer.append(e.toAttribute())
                 continue
             hit_any = True
-            used |= hit
+            used |= origin(hit)
             exprs = self.jvm.org.apache.spark.sql.catalyst.expressions
             fresh = exprs.NamedExpression.newExprId()
             raw = self.alias(e.child() if self.kind(e) == "Alias" else e, "__raw", fresh)
             inner.append(raw)
-            outer.append((e, raw.toAttribute(), max(tainted[i] for i in hit)))
+            outer.append((e, raw.toAttribute(), max(scales[x] for x in origin(hit))))
         if not hit_any:
             return plan
         base = ls.Aggregate(plan.groupingExpressions(), self.jseq(inner), plan.child(), plan.hint())
@@ -197,28 +245,24 @@ def govern(query: DataFrame | str, governed: DataFrame, c: Compiled, caller: Cal
             charges[s.params["budget"]] = max(charges.get(s.params["budget"], 0.0), float(s.params["epsilon"]))
     noisy = [s for s in shapes if s.operator == "noise" and s.params["at"] == "aggregate"]
     if noisy:
-        # by id where the plan holds the view's own attributes, by the view's top projection else
-        tainted: dict[int, float] = {}
-        owner: dict[int, object] = {}
-        want = [s.column for s in noisy]
-        views = [[a.name() for a in _seq(n.output())] for n in [governed._jdf.queryExecution().analyzed()]][0]
+        # by the view's top projection, wherever the plan holds it
+        plan = rw.inline(plan)
+        scales = {s.column: s.params["sensitivity"] / s.params["epsilon"] for s in noisy}
+        top = [a.name() for a in _seq(governed._jdf.queryExecution().analyzed().output())]
+        tainted: dict[int, frozenset] = {}
         for n in rw.nodes(plan):
-            if rw.kind(n) == "Project" and [a.name() for a in _seq(n.output())] == views:
-                for a in _seq(n.output()):
-                    if a.name() in want:
-                        s = noisy[want.index(a.name())]
-                        tainted[a.exprId().id()] = s.params["sensitivity"] / s.params["epsilon"]
-                        owner[a.exprId().id()] = s
-        used: set[int] = set()
-        plan = rw.noise(plan, tainted, used)
+            if rw.kind(n) == "Project" and [a.name() for a in _seq(n.output())] == top:
+                tainted.update({a.exprId().id(): frozenset([a.name()]) for a in _seq(n.output()) if a.name() in scales})
+        used: set[str] = set()
+        plan = rw.noise(plan, tainted, scales, used)
         if {a.exprId().id() for a in _seq(plan.output())} & set(tainted):
             raise fail("unsupported", "a noised column is returned outside an aggregate")
         for s in noisy:
-            if used:
+            if s.column in used:
                 charges[s.params["budget"]] = max(charges.get(s.params["budget"], 0.0), float(s.params["epsilon"]))
     ks = [s.params["k"] for s in shapes if s.operator == "suppress"]
     if ks:
-        grouped = any(rw.kind(n) in ("Aggregate", "Distinct") for n in rw.nodes(plan))
+        grouped = any(rw.groups(n) for n in rw.nodes(plan))
         plan = rw.suppress(plan, max(ks))
         if not grouped:
             out = rw.frame(plan)

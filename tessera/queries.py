@@ -141,8 +141,60 @@ governed_sql("caller_rollup", "lineitem", ITEM, OPEN[:1], "SELECT l_returnflag,
 governed_sql("caller_setops", "lineitem", ITEM, OPEN[:1], "SELECT l_orderkey FROM VIEW INTERSECT SELECT o_orderkey FROM t_orders EXCEPT SELECT c_custkey FROM t_customer", f"SELECT l_orderkey FROM {L} INTERSECT SELECT o_orderkey FROM orders EXCEPT SELECT c_custkey FROM customer")
 governed_sql("caller_recursive", "lineitem", ITEM, OPEN[:1], "WITH RECURSIVE r(k, d) AS (SELECT CAST(1 AS bigint), 0 UNION ALL SELECT k * 2, d + 1 FROM r WHERE d < 8) SELECT d, k, (SELECT count(*) FROM VIEW WHERE l_orderkey < 256) AS n FROM r", f"WITH RECURSIVE r(k, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT k * 2, d + 1 FROM r WHERE d < 8) SELECT d, k, (SELECT count(*) FROM {L} WHERE l_orderkey < 256) AS n FROM r")
 NOISE = {"id": "n", "op": "shape", "operator": "noise", "column": "l_quantity", "params": {"sensitivity": 10, "epsilon": 1.0, "budget": "b"}}
-governed_sql("agg_noise_bounds", "lineitem", ITEM, [NOISE], "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM VIEW GROUP BY 1", "")
-ORACLE.pop("agg_noise_bounds")
+
+
+def noised(name: str, sql: str, oracle: str) -> None:
+    """A query with noise on its column ``q`` beside the same query without: what is exact, that
+    every ``q`` has moved, and none by more than 40 times the scale (10, a chance of e^-40)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session(spark)
+        df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        c = contract(df, ITEM, NOISE)
+        v = view(df, c, PLAIN)
+        v.createOrReplaceTempView(f"v_{name}")
+        df.createOrReplaceTempView(f"raw_{name}")
+        out, charges = govern(sql.replace("VIEW", f"v_{name}"), v, c, PLAIN)
+        raw = spark.sql(sql.replace("VIEW", f"raw_{name}")).withColumnRenamed("q", "raw")
+        keys = [k for k in out.columns if k != "q"]
+        both = out.alias("o").join(raw.alias("r"), [F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+        moved = F.abs(F.col("q") - F.col("raw"))
+        return both.select(*[f"o.{k}" for k in keys], (moved > 0).alias("changed"), (moved < 400).alias("near"), F.lit(charges.get("b")).alias("charged"))
+
+    QUERIES[name], ORACLE[name] = run, f"SELECT *, true AS changed, true AS near, 1.0::DOUBLE AS charged FROM ({oracle})"
+
+
+noised("agg_noise_bounds", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM VIEW GROUP BY 1", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+noised("agg_noise_cte", "WITH t AS (SELECT l_linestatus AS s, l_quantity * 1.0 AS z FROM VIEW WHERE l_orderkey > 7) SELECT s, count(*) AS n, avg(z) AS q FROM t GROUP BY s", "SELECT l_linestatus AS s, count(*) AS n FROM lineitem WHERE l_orderkey > 7 GROUP BY 1")
+noised("agg_noise_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM VIEW GROUP BY ROLLUP(l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
+
+
+@query("lineitem", "SELECT 'all' AS reads, 0.5::DOUBLE AS charged UNION ALL SELECT 'another', NULL UNION ALL SELECT 'grouped', 0.5")
+def charges_wide(df):
+    """Budgets charged over a view of many columns, by what a query reads."""
+    df = df.withColumns({f"w{i}": F.col("l_orderkey") + i for i in range(30)})
+    rule = {"id": "n", "op": "shape", "operator": "noise", "column": "w25", "params": {"sensitivity": 1, "epsilon": 0.5, "budget": "b", "at": "row"}}
+    c = contract(df, {f"w{i}": "int64" for i in range(30)}, rule)
+    v = view(df, c, PLAIN)
+    v.createOrReplaceTempView("v_charges_wide")
+    asked = {"all": "SELECT * FROM v_charges_wide", "another": "SELECT w24 FROM v_charges_wide", "grouped": "SELECT w1, max(w25) AS m FROM v_charges_wide GROUP BY w1"}
+    return df.sparkSession.createDataFrame([(k, govern(q, v, c, PLAIN)[1].get("b")) for k, q in asked.items()], "reads string, charged double")
+
+
+governed_sql("suppress_agg_subquery", "lineitem", ITEM, OPEN, "SELECT l_linestatus, count(*) AS n, sum(l_linenumber + (SELECT count(*) FROM (SELECT l_orderkey % 1000 AS k FROM VIEW GROUP BY 1))) AS s FROM VIEW GROUP BY 1", f"SELECT l_linestatus, count(*) AS n, CAST(sum(l_linenumber + (SELECT count(*) FROM (SELECT l_orderkey % 1000 AS k FROM {L} GROUP BY 1 HAVING count(*) >= 40) HAVING count(*) >= 40)) AS BIGINT) AS s FROM {L} GROUP BY 1 HAVING count(*) >= 40")
+governed_sql("suppress_intersect", "lineitem", ITEM, OPEN, "SELECT l_orderkey % 1000 AS k FROM VIEW INTERSECT SELECT o_orderkey % 500 FROM t_orders", f"SELECT l_orderkey % 1000 AS k FROM {L} GROUP BY 1 HAVING count(*) >= 40 INTERSECT SELECT o_orderkey % 500 FROM orders")
+governed_sql("suppress_distinct", "lineitem", ITEM, OPEN, "SELECT DISTINCT l_orderkey % 700 AS k, l_linestatus FROM VIEW", f"SELECT l_orderkey % 700 AS k, l_linestatus FROM {L} GROUP BY 1, 2 HAVING count(*) >= 40")
+
+# ---- callers' own joins, windows and grouping sets
+governed_sql("caller_range_join", "lineitem", ITEM, OPEN[:1], "SELECT n_nationkey, count(*) AS n FROM VIEW JOIN t_nation ON l_quantity BETWEEN n_nationkey AND n_nationkey + 5 GROUP BY 1", f"SELECT n_nationkey, count(*) AS n FROM {L} JOIN nation ON l_quantity BETWEEN n_nationkey AND n_nationkey + 5 GROUP BY 1")
+governed_sql("caller_outer_join", "lineitem", ITEM, OPEN[:1], "SELECT o_orderstatus, count(*) AS n, count(l_linenumber) AS lines FROM t_orders LEFT JOIN VIEW ON o_orderkey = l_orderkey AND l_quantity > 30 GROUP BY 1", f"SELECT o_orderstatus, count(*) AS n, count(l_linenumber) AS lines FROM orders LEFT JOIN {L} ON o_orderkey = l_orderkey AND l_quantity > 30 GROUP BY 1")
+SORTED = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_linestatus"
+FRAMES = f"SELECT l_orderkey, l_linenumber, lag(l_quantity) OVER (w) AS before, lead(l_quantity, 2, -1) OVER (w) AS after, first_value(l_quantity) OVER (w) AS first, sum(l_quantity) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, rank() OVER (w) AS r, dense_rank() OVER (w) AS d, ntile(3) OVER (w) AS t".replace("(w", f"({SORTED}")
+governed_sql("caller_window_frames", "lineitem", ITEM, OPEN[:1], f"{FRAMES} FROM VIEW", f"{FRAMES} FROM {L}")
+SETS = "SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_quantity > 10) AS n, count(DISTINCT l_linenumber) AS lines, sum(l_quantity) AS q"
+governed_sql("caller_grouping_sets", "lineitem", ITEM, OPEN[:1], f"{SETS} FROM VIEW GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", f"{SETS} FROM {L} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+simple("expr_unary_uint", "lineitem", {"l_orderkey": "int64", "l_partkey": "int64"}, [shows("l_partkey", "-row.l_partkey + int(uint(row.l_linenumber))"), admit("uint(row.l_linenumber) >= uint(3) && row.l_orderkey in [-1, 1, 2, 3, 32, 33, 34, 35]")], "SELECT l_orderkey, -l_partkey + l_linenumber AS l_partkey FROM lineitem WHERE l_linenumber >= 3 AND l_orderkey IN (-1, 1, 2, 3, 32, 33, 34, 35)")
+simple("expr_formats", "customer", {"c_custkey": "int64"}, [admit("(is_email(row.mail) || is_msisdn(row.tel)) && size(row.mail) > 12")], "SELECT c_custkey FROM customer WHERE (c_custkey % 3 = 0 OR c_custkey % 2 = 0) AND length('c' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '@' ELSE ' ' END || 'mail.example') > 12", columns={"mail": "'c' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '@' ELSE ' ' END || 'mail.example'", "tel": "CASE WHEN c_custkey % 2 = 0 THEN '2547' ELSE '2537' END || lpad(string(c_custkey), 8, '0')"})
 
 
 # ---- quality

@@ -8,18 +8,44 @@ import yaml
 
 from ..errors import fail
 
-#: fixed values: the standard's logical types
-LOGICAL = {"string": "utf8", "date": "date32", "timestamp": "timestamp", "time": "utf8", "number": "float64", "integer": "int64", "boolean": "bool", "object": "utf8"}
+#: fixed values: types of the standard and of physical columns, by the type they become
+LOGICAL = {"string": "utf8", "integer": "int64", "number": "float64", "boolean": "bool", "date": "date32", "timestamp": "timestamp"}
+PHYSICAL = {
+    "utf8": ["varchar", "text", "string", "char", "nvarchar", "uuid"], "int64": ["bigint", "int8", "long"], "int32": ["int", "integer", "int4"],
+    "int16": ["smallint", "int2"], "float64": ["double", "float8", "double precision"], "float32": ["real", "float", "float4"], "bool": ["boolean", "bool"],
+    "date32": ["date"], "timestamp": ["timestamp", "timestamptz", "timestamp_ntz", "timestamp_ltz", "datetime"], "binary": ["bytea", "binary", "varbinary", "blob"],
+}
 CARRIED = {"apiVersion", "kind", "id", "name", "version", "status", "domain", "tenant", "description", "schema"}
 
 
 def column_type(p: dict) -> str:
-    phys = str(p.get("physicalType", "")).lower()
+    """The physical type decides where it is a known one, the logical type else; nested
+    objects and times of day have no type of ours and are refused."""
+    phys = str(p.get("physicalType") or "").strip().lower()
     if m := re.match(r"(?:decimal|numeric)\s*\((\d+)\s*,\s*(\d+)\)", phys):
         return f"decimal({m[1]},{m[2]})"
-    if p.get("logicalType") == "array":
-        return f"list<{column_type(p.get('items') or {'logicalType': 'string'})}>"
-    return LOGICAL.get(p.get("logicalType"), "utf8")
+    for ours, theirs in PHYSICAL.items():
+        if phys.split("(")[0] in theirs:
+            return ours
+    logical = p.get("logicalType") or "string"
+    if logical == "array":
+        return f"list<{column_type(p['items']) if p.get('items') else 'utf8'}>"
+    if logical not in LOGICAL:
+        raise fail("document", f"`{p.get('name', 'items')}`: logicalType `{logical}` has no type here")
+    return LOGICAL[logical]
+
+
+def carried_rules(q: dict) -> list | None:
+    """Rules under a custom entry's ``implementation``: a rule, a list or YAML text of either."""
+    made = q.get("implementation") if q.get("type") == "custom" or q.get("engine") else None
+    if isinstance(made, str):
+        try:
+            made = yaml.safe_load(made)
+        except yaml.YAMLError:
+            return None
+    made = [made] if isinstance(made, dict) else made
+    good = isinstance(made, list) and made and all(isinstance(r, dict) and {"id", "op"} <= set(r) for r in made)
+    return made if good else None
 
 
 def rule_id(s: str) -> str:
@@ -42,8 +68,8 @@ def import_odcs(text: str, obj: str | None = None) -> tuple[dict, list[str]]:
 
     def quality(items, where: str):
         for q in items or []:
-            if q.get("type") == "custom" and isinstance(q.get("implementation"), dict) and {"id", "op"} <= set(q["implementation"]):
-                rules.append(q["implementation"])
+            if found := carried_rules(q):
+                rules.extend(found)
             else:
                 notes.append(f"{where}: quality {q.get('rule') or q.get('metric') or q.get('name') or ''} ({q.get('type', 'library')}) is not carried over")
 

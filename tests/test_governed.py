@@ -124,6 +124,36 @@ def test_shapes(spark, stays):
             govern(bad, v, c, Caller())
 
 
+def test_shapes_enter_every_node(spark, stays):
+    df = stays[0]  # without noise by row: a query that is not deterministic cannot stand in an aggregate
+    rules = [{"id": "sums", "op": "shape", "operator": "noise", "column": "cost", "params": {"sensitivity": 500, "epsilon": 0.25, "budget": "money"}}, {"id": "few", "op": "shape", "operator": "suppress", "params": {"k": 25}}]
+    c = make(df, {"id": "int64", "ward": "utf8", "nights": "int64", "cost": "float64"}, rules)
+    v = view(df, c, Caller())
+    v.createOrReplaceTempView("stays")
+    rows = lambda q: govern(q, v, c, Caller())[0].collect()
+    wards = {f"ward-{i}" for i in range(4)}
+    bins = "CASE WHEN id % 200 = 7 THEN 99 ELSE id % 30 END"  # one of 31 is small
+    few = f"(SELECT count(*) FROM (SELECT {bins} FROM stays GROUP BY {bins}))"
+    assert {r.n for r in rows(f"SELECT ward, max({few}) AS n FROM stays GROUP BY ward")} == {30}
+    assert len(rows(f"SELECT s.ward FROM (SELECT DISTINCT ward FROM stays) s JOIN (SELECT ward FROM stays GROUP BY ward) t ON s.ward = t.ward AND {few} = 30")) == 4
+    assert len(rows(f"SELECT ward FROM stays GROUP BY ward ORDER BY {few}, ward")) == 4
+    assert {r.ward for r in rows("SELECT ward FROM stays INTERSECT SELECT ward FROM stays")} == wards
+    assert {r.ward for r in rows("SELECT ward FROM stays EXCEPT SELECT 'ward-0'")} == wards - {"ward-0"}
+    assert {r.ward for r in govern(v.select("id", "ward").dropDuplicates(["ward"]), v, c, Caller())[0].collect()} == wards
+    twice = "WITH t AS (SELECT ward, cost * 2 AS z FROM stays) SELECT a.ward, a.m, b.m AS w FROM (SELECT ward, sum(z) AS m FROM t GROUP BY ward) a JOIN (SELECT ward, max(z) AS m FROM t GROUP BY ward) b ON a.ward = b.ward"
+    q, charges = govern(twice, v, c, Caller())
+    true = {r.ward: (r.m, r.w) for r in spark.sql(twice).collect()}
+    got = {r.ward: (r.m, r.w) for r in q.collect()}
+    assert set(got) == wards and charges == {"money": 0.25}
+    assert all(x != y and abs(x - y) < 80_000 for k in wards for x, y in zip(got[k], true[k]))
+    cube = rows("SELECT ward, id % 2 AS b, sum(cost) AS s FROM stays GROUP BY CUBE(ward, id % 2)")
+    assert len(cube) == 15
+    assert govern("WITH t AS (SELECT count(*) AS n FROM stays) SELECT n FROM t", v, c, Caller())[1] == {}
+    for bad in ("WITH t AS (SELECT cost FROM stays) SELECT cost FROM t", "SELECT ward, sum(nights) AS n FROM stays GROUP BY CUBE(ward, cost)"):
+        with pytest.raises(ContractError):
+            govern(bad, v, c, Caller())
+
+
 def test_charges_of_wide_and_foreign_columns(spark, tmp_path):
     spark.range(60).selectExpr("id", *[f"id * {i} AS w{i}" for i in range(40)]).write.parquet(str(tmp_path / "wide"))
     df = spark.read.parquet(str(tmp_path / "wide"))

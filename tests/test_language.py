@@ -93,9 +93,13 @@ def test_versions_and_residency():
     assert version(3) == "3.0.0" and version("1.2.3") == "1.2.3"
     with pytest.raises(ContractError):
         version(1.5)
-    d = doc(residency=["EU", "KE"])
-    assert d.permits("DE") and d.permits("KE") and not d.permits("US") and not doc().permits("KE")
-    assert d.hash != doc().hash
+    d = doc(residency={"jurisdictions": ["KE", "EU"], "approved_output_may_leave": True})
+    assert d.permits("EU") and d.permits("KE") and not d.permits("DE") and not d.permits("*") and not doc().permits("KE")
+    assert d.output_may_leave and not doc(residency=["KE"]).output_may_leave
+    assert len({d.hash, doc().hash, doc(residency=["EU", "KE"]).hash}) == 3 and doc(residency=["KE", "EU"]).hash == doc(residency=["EU", "KE"]).hash
+    for bad in (["ZZ"], ["*"], ["ke"], [], {"jurisdictions": []}, {"jurisdictions": ["KE"], "other": 1}, {"jurisdictions": ["KE"], "approved_output_may_leave": "yes"}, "KE"):
+        with pytest.raises(ContractError):
+            doc(residency=bad)
 
 
 def test_inheritance_only_narrows():
@@ -151,3 +155,15 @@ def test_odcs():
     compile_contract(read(json.dumps(d)), {"id": parse_type("utf8"), "amount": parse_type("decimal(18,2)")})
     with pytest.raises(ContractError):
         import_odcs(text, "nope")
+    table = lambda props, **m: json.dumps({"name": "x", "schema": [{"name": "t", "properties": props, **m}]})
+    kinds = {"bigint": "int64", "int": "int32", "SMALLINT": "int16", "float": "float32", "varchar(20)": "utf8", "bytea": "binary", "timestamptz": "timestamp", "numeric(9, 2)": "decimal(9,2)"}
+    d, _ = import_odcs(table([{"name": f"c{i}", "logicalType": "number", "physicalType": k} for i, k in enumerate(kinds)] + [{"name": "l", "logicalType": "array", "items": {"logicalType": "integer"}}]))
+    assert [c["type"] for c in d["expose"]] == [*kinds.values(), "list<int64>"]
+    for bad in ("object", "time"):
+        with pytest.raises(ContractError):
+            import_odcs(table([{"name": "c", "logicalType": bad}]))
+    one = {"id": "a", "op": "admit", "expr": "row.c > 0"}
+    for made in (one, [one, one | {"id": "b"}], "- {id: a, op: admit, expr: row.c > 0}\n"):
+        d, notes = import_odcs(table([{"name": "c", "logicalType": "integer"}], quality=[{"type": "custom", "engine": "e", "implementation": made}]))
+        assert d["rules"][0] == one and not notes
+    assert import_odcs(table([], quality=[{"type": "custom", "engine": "e", "implementation": "a: ["}]))[1]
