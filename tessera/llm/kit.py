@@ -231,16 +231,18 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str
     """(node, component) for every node of ``edges`` (a, b), component = smallest
     node.  Alternating large-star and small-star steps; each step is two grouped
     minima and a join, so no group is gathered and nothing reaches the driver
-    but two counts.  Joins on a hot centre are split by adaptive execution."""
+    but three counts.  The large-star's minima are parked, so that the join of a hot
+    centre's edges to them broadcasts (at most SMALL_ROWS) or can be split."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = scratch.park(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = both.join(checked_small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch.park(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), tag)
+        scratch.drop("low")
         # stable once a step changes nothing
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
