@@ -96,7 +96,7 @@ class Bpe:
                     # of equal ranks the leftmost merge comes first
                     if rank is not None and rank < a_gone and rank <= b_gone:
                         got = False
-            if len(self.closed) > 1_000_000:
+            if len(self.closed) > 300_000:
                 self.closed.clear()
             self.closed[key] = got
         return got
@@ -146,7 +146,7 @@ class Bpe:
                     at = m.end()
             row.append(self.words.findall(t[at:] if at else t))
             parts.append(row)
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         new = set()
         for row in parts:

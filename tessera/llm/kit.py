@@ -209,7 +209,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(texts: Iterable[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Slices of about ``most`` characters, at least one text each, so that the
     arrays made from a batch stay bounded."""
     begin = size = 0
