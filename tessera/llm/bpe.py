@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import blocks, frames
+from .kit import blocks, bound_batches, frames
 
 #: fixed value: how byte-level BPE parts words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,6 +174,7 @@ def load(path: str) -> Bpe:
 def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; ``path`` is the vocabulary
     file, present on every machine."""
+    bound_batches(spark)
 
     def run(batches):
         bpe = load(path)

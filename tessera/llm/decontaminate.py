@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Scratch, blocks, checked_small, column, frames, mix, runs, unused
+from .kit import Scratch, blocks, bound_batches, checked_small, column, frames, mix, runs, unused
 from .toxicity import Tokens
 
 W, SHARE, SMALL = 5, 0.8, 500_000
@@ -101,6 +101,7 @@ def windows(texts, known=None, short=(), items=False) -> pd.DataFrame:
 def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, tmp: Scratch, share: float = SHARE) -> DataFrame:
     """doc_id, key (hash of the text), item_id, coverage: one row for each
     document and item found in it."""
+    bound_batches(spark)
 
     def items(batches):
         for pdf in batches:

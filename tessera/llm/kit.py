@@ -60,6 +60,18 @@ class Scratch:
                 self.made.remove(path)
 
 
+#: Bytes of an Arrow batch of texts on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not by 10,000 rows alone: those are tens of MB of
+    text, held in the JVM's direct buffers and again in the worker.  The setting
+    stays with the session, as lazy results are computed later; a text beyond the
+    bound is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
     """``mapInPandas`` whose 64-bit integers stay integers beside nulls (``Int64``
     columns, ``pd.NA``): pandas' own would turn a batch with a null id to floats,

@@ -270,6 +270,7 @@ def _score(model, spans: bool):
 def toxicity(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, key (hash of the text), score, spans (byte offsets in UTF-8 of
     offending tokens with their marginals), one row per input row."""
+    kit.bound_batches(spark)
     given = spark.sparkContext.broadcast(model)  # 4 MB, whatever the data
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     return frames(docs, _score(given, True), "doc_id long, key long, score double, spans array<struct<start:long,end:long,p:double>>")
@@ -285,6 +286,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go."""
     model = train(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kit.bound_batches(spark)
     given = spark.sparkContext.broadcast(model)
 
     def run(batches):
