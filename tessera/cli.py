@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 from dataclasses import asdict
-from datetime import datetime
+from datetime import datetime, timezone
 from pathlib import Path
 
 import yaml
@@ -16,7 +16,7 @@ from .document import Document, json_schema, read
 from .errors import ContractError
 from .functions.registry import Registry, signature
 from .lint import lint
-from .operators.governed import Caller, differential, failing_values, refusals, rule_counts, validate
+from .operators.governed import Caller, differential, failing_report, query_time_guarantees, refusal_detail, refusals, rule_counts, validate
 from .plans.export import substrait, validation_sql
 from .sources.artifact import to_bytes
 from .sources.io import read_data, read_schema
@@ -71,18 +71,24 @@ def load_caller(path: str) -> Caller:
 
 def check(a, c) -> tuple[dict, int]:
     spark = session()
-    df = read_data(spark, a.data, dict(x.split("=", 1) for x in a.type or [])).cache()
+    df = read_data(spark, a.data, dict(x.split("=", 1) for x in a.type or []))
     v = validate(df, c)
+    read_at = datetime.now(timezone.utc)
     callers = [load_caller(p) for p in a.caller or []] or [Caller()]
     diff = differential(df, c, callers, a.sample)
     out: dict = {"verdict": asdict(v), "differential": {"evaluations": diff["evaluations"], "mismatches": len(diff["mismatches"])}, "callers": []}
     for caller in callers:
         no = [r for r, x in refusals(c, caller) if x]
-        one: dict = {"caller": caller.id, "refused_by": no}
+        one: dict = {"caller": caller.id, "refused_by": no, "because": {r: refusal_detail(c, caller, r) for r in no}}
         if not no:
-            one["counts"] = rule_counts(df, c, caller).first().asDict()
+            n = one["counts"] = rule_counts(df, c, caller).first().asDict()
+            one["pass_percent"] = {k.split("__", 1)[1]: 100.0 * x / n["total"] if n["total"] else 100.0 for k, x in n.items() if k.startswith(("admit__", "pass__"))}
+            one["visible_percent"] = 100.0 * n["visible"] / n["total"] if n["total"] else 100.0
+        # what is read when queries run: data read now count as written now
+        one["query_time"] = query_time_guarantees(c, v, read_at, caller)
         out["callers"].append(one)
-    out["failing"] = {i: [r.asDict() for r in failing_values(df, c, i).collect()] for i, n in v.failures.items() if n}
+    bad = [i for i, n in v.failures.items() if n]
+    out["failing"] = failing_report(df, c, bad)
     return out, int(not v.valid or bool(diff["mismatches"]))
 
 

@@ -4,8 +4,10 @@ expressions; one aggregation job gives a verdict, however many rules there are."
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,23 @@ def refusals(c: Compiled, caller: Caller) -> list[tuple[str, bool]]:
     return out
 
 
+def refusal_detail(c: Compiled, caller: Caller, rule: str) -> list[str]:
+    """The caller's fields that a decide rule reads, as ``ctx.f = value``, in the
+    rule's order; a field that the caller lacks is absent."""
+    n = next(n for i, n in c.decisions if i == rule)
+    out = []
+    for x in n.walk():
+        if x.op.startswith("ctx"):
+            try:
+                value = caller.interpreter().eval(x)
+                text = f"{show(x)} = {json.dumps(value, default=str, ensure_ascii=False)}"
+            except EvalError:
+                text = f"{show(x)} is absent"
+            if text not in out:
+                out.append(text)
+    return out
+
+
 def active_shapes(c: Compiled, caller: Caller) -> list:
     return [s for s in c.shapes if s.unless is None or caller.interpreter().eval(s.unless) is not True]
 
@@ -272,8 +291,16 @@ def dataset_record(c: Compiled, v: Verdict, written_at: datetime) -> dict:
 
 
 def query_time_guarantees(c: Compiled, v: Verdict, written_at: datetime, caller: Caller) -> dict[str, bool]:
+    """Guarantees that need the time or the caller; an error does not hold."""
     data = dataset_record(c, v, written_at)
-    return {rule: caller.interpreter(data=data).eval(n) is True for rule, n, _ in c.guarantees if c.query_time(n)}
+
+    def holds(n: Node) -> bool:
+        try:
+            return caller.interpreter(data=data).eval(n) is True
+        except EvalError:
+            return False
+
+    return {rule: holds(n) for rule, n, _ in c.guarantees if c.query_time(n)}
 
 
 # ------------------------------------------------------------------- counts
@@ -310,6 +337,17 @@ def failing_values(df: DataFrame, c: Compiled, rule: str, top: int = 3) -> DataF
     return bad.groupBy(*[F.col(f"`{x}`") for x in reads]).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *[F.col(f"`{x}`") for x in reads]).limit(top)
 
 
+def failing_report(df: DataFrame, c: Compiled, rules: list[str], top: int = 3) -> dict[str, list[dict]]:
+    """``failing_values`` of several assertions in one job: their rows are told apart by
+    rule and travel as JSON, as the rules read different columns."""
+    out: dict[str, list[dict]] = {i: [] for i in rules}
+    parts = [failing_values(df, c, i, top).select(F.lit(i).alias("rule"), "n", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")) for i in rules]
+    if parts:
+        for r in sorted(reduce(DataFrame.unionAll, parts).collect(), key=lambda r: (-r.n, r.row)):
+            out[r.rule].append(json.loads(r.row))
+    return out
+
+
 # ------------------------------------------------------------- differential
 
 

@@ -207,3 +207,24 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["compile", str(tmp_path / "c.yaml"), "--type", "supplier=utf8", "--sql", "duckdb", "-o", str(tmp_path / "o")]) == 0
     assert cli.main(["lint", str(tmp_path / "c.yaml"), "--type", "supplier=utf8", "--deny-warnings"]) == 0
     assert read_data(spark, str(tmp_path / "d.csv")).count() == 3
+
+
+def test_check_report(spark, tmp_path, capsys):
+    (tmp_path / "d.csv").write_text("id,weight,place\n1,5,a\n2,,b\n3,-1,b\n4,-1,b\n")
+    rules = [
+        "{id: trusted, op: decide, expr: ctx.clearance >= 2 && ctx.purpose != 'resale'}",
+        "{id: heavy, op: assert, expr: row.weight > 0, on_fail: report}",
+        "{id: placed, op: assert, expr: row.place == 'b', on_fail: report}",
+        "{id: sure, op: assert, expr: row.id > 0, on_fail: report}",
+        "{id: fresh, op: guarantee, expr: dataset.written_at > ctx.now - duration('1h'), on_fail: annotate}",
+    ]
+    (tmp_path / "c.yaml").write_text("contract: a/b\nversion: 1\nowner: o\nbinding: {parquet: x/}\nexpose: [{name: id, type: int64}]\nrules:\n" + "".join(f"  - {r}\n" for r in rules))
+    (tmp_path / "low.yaml").write_text("id: low\nclearance: 1\n")
+    (tmp_path / "high.yaml").write_text("id: high\nclearance: 3\n")
+    cli.main(["check", str(tmp_path / "c.yaml"), "--data", str(tmp_path / "d.csv"), "--type", "id=int64", "--type", "weight=int64", "--caller", str(tmp_path / "low.yaml"), "--caller", str(tmp_path / "high.yaml"), "--json"])
+    out = json.loads(capsys.readouterr().out)
+    low, high = out["callers"]
+    assert low["refused_by"] == ["trusted"] and low["because"] == {"trusted": ["ctx.clearance = 1", 'ctx.purpose = "analytics"']}
+    assert high["because"] == {} and high["query_time"] == {"fresh": True}
+    assert high["pass_percent"] == {"heavy": 25.0, "placed": 75.0, "sure": 100.0} and high["visible_percent"] == 100.0
+    assert out["failing"] == {"heavy": [{"weight": -1, "n": 2}, {"weight": None, "n": 1}], "placed": [{"place": "a", "n": 1}]}
