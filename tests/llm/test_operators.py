@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.llm import ann, bpe, chat, decontaminate, neardup, secrets, suffix, tokenfile, toxicity, warc
+from tessera.llm import ann, bpe, chat, decontaminate, kit, neardup, secrets, suffix, tokenfile, toxicity, warc
 from tessera.llm.kit import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row string"
@@ -243,6 +243,42 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(spark, docs.where("false")).count() == 0
 
 
+def jobs_of(spark, tag, f):
+    """What f gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_components_in_few_jobs(spark, monkeypatch):
+    """The driver plans and keeps records of every job, so a long chain must not take many."""
+    rng = random.Random(3)
+    chain = [rng.randrange(-(2**62), 2**62) for _ in range(400)]
+    pairs = [*zip(chain, chain[1:]), *((chain[0] ^ 1, x) for x in rng.sample(chain, 30)), (2**60 + 1, 2**60 + 1), *((2**60 + 2, 2**60 + 3),) * 2]
+    edges = spark.createDataFrame([((a, 0), (b, a % 2)) for a, b in pairs], "a struct<doc_id: long, key: long>, b struct<doc_id: long, key: long>")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in ((tuple(r.a), tuple(r.b)) for r in edges.collect()):
+        if a != b:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    want = {x: find(x) for x in root}
+    found = lambda: [(tuple(r.node), tuple(r.component)) for r in kit.components(spark, edges, kit.Scratch(spark, "cc")).collect()]
+    got, jobs = jobs_of(spark, "few", found)
+    assert len(got) == len(want) and dict(got) == want and jobs <= 8, jobs
+    monkeypatch.setattr(kit, "FEW_EDGES", 0)
+    got = found()
+    assert len(got) == len(want) and dict(got) == want
+    assert kit.components(spark, edges.where("false"), kit.Scratch(spark, "cc")).count() == 0
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64))
