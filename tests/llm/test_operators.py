@@ -279,6 +279,33 @@ def test_components_in_few_jobs(spark, monkeypatch):
     assert kit.components(spark, edges.where("false"), kit.Scratch(spark, "cc")).count() == 0
 
 
+def test_components_of_numbered_nodes(spark, monkeypatch):
+    """Beyond FEW_EDGES too, jobs must not grow with the length of a chain."""
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(500)]
+    pairs = [*zip(ids[:300], ids[1:300]), *((ids[300], x) for x in ids[301:400]), *((rng.choice(ids[400:]), rng.choice(ids[400:])) for _ in range(60))]
+    edges = spark.createDataFrame([((a, a % 3), (b, b % 3)) for a, b in pairs], "a struct<doc_id: long, key: long>, b struct<doc_id: long, key: long>").repartition(5)
+    found = lambda: sorted((tuple(r.node), tuple(r.component)) for r in kit.components(spark, edges, kit.Scratch(spark, "cc")).collect())
+    want = found()
+    monkeypatch.setattr(kit, "FEW_EDGES", 0)
+    got, jobs = jobs_of(spark, "numbered", found)
+    assert got == want and jobs <= 25, jobs
+    monkeypatch.setattr(kit, "MANY_NODES", 0)
+    assert found() == want
+
+
+def test_forest_of_passing_edges():
+    rng = np.random.default_rng(5)
+    for n in (2, 50, 3000):
+        root, a, b = np.arange(n, dtype=np.int32), rng.integers(0, n, n * 2 // 3), rng.integers(0, n, n * 2 // 3)
+        a[: n // 2], b[: n // 2] = np.arange(n // 2), np.arange(n // 2) + 1  # a chain
+        for i in range(0, len(a), 7):
+            kit.hook(root, a[i : i + 7], b[i : i + 7])
+        while (root != root[root]).any():
+            root = root[root]
+        assert (root == kit.roots_of(a, b, n)).all()
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64))
