@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,21 @@ from .kit import blocks, bound_batches, frames
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 30
 LONG = 100  # longer words are not kept
+KEPT = 150_000  # words of each of two generations, some 200 bytes each
+
+# characters that every version of Unicode classes alike: ASCII, Latin, dashes and quotes
+USUAL = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028)]
+ODD = re.compile(f"[^\\x09-\\x0D\\x20{''.join(re.escape(chr(c)) for c in USUAL)}]|<\\|")  # <| may open a special token
+
+
+def usual(kind: str) -> str:
+    """Those of the usual characters whose category begins so, as part of a character class."""
+    # lower-casing U+0130 leaves U+0307
+    return "".join(re.escape(chr(c)) for c in [*USUAL, 0x307] if unicodedata.category(chr(c)).startswith(kind))
+
+
+#: PATTERN within the usual characters, for the quicker library
+WORDS = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{usual('L')}{usual('N')}]").replace(r"\p{L}", f"[{usual('L')}]").replace(r"\p{N}", f"[{usual('N')}]"))
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,6 +87,7 @@ class Bpe:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def edge(self, t: int, side: int) -> list[tuple[int, int]]:
         """Tokens on the left (0) or right (1) edge of t, each with the rank at
@@ -101,18 +119,19 @@ class Bpe:
             self.closed[key] = got
         return got
 
-    def walk(self, words: list[str]) -> dict[str, bytes]:
+    def walk(self, words: Iterable[str]) -> dict[str, bytes]:
         """Encodings (little-endian 32-bit ids) of distinct words."""
         out = {}
         coded = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
         # of each prefix on the current path: its last token, and where that begins
         last: list[int] = [0]
         from_: list[int] = [0]
-        before = b""
+        before, number = b"", int.from_bytes
         ids, fits, closed, reach = self.id, self.fits, self.closed, self.reach
         for raw, word in coded:
             n = len(raw)
-            depth = len(commonprefix((before, raw)))
+            m = min(len(before), n)  # as numbers, two prefixes of m bytes differ below the common part
+            depth = m - ((number(before[:m]) ^ number(raw[:m])).bit_length() + 7 >> 3)
             del last[depth + 1 :], from_[depth + 1 :]
             for end in range(depth + 1, n + 1):
                 most = reach.get(raw[max(0, end - 3) : end], 2)
@@ -144,16 +163,20 @@ class Bpe:
                 for m in self.split.finditer(t):
                     row += [self.words.findall(t[at : m.start()]), m.group()]
                     at = m.end()
-            row.append(self.words.findall(t[at:] if at else t))
+            words = self.words if ODD.search(t) else WORDS
+            row.append(words.findall(t[at:] if at else t))
             parts.append(row)
-        if len(self.known) > 150_000:
-            self.known.clear()
+        if len(self.known) > KEPT:  # words that are met again stay
+            self.older, self.known = self.known, {}
         new = set()
         for row in parts:
             for p in row:
                 if not isinstance(p, str):
                     new.update(p)
-        fresh = self.walk([w for w in new if w not in self.known])
+        new.difference_update(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        fresh = self.walk(new - again)
         self.known.update(fresh)
         get = self.known.__getitem__
         out = [b"".join([self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in row]) for row in parts]

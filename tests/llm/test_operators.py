@@ -478,6 +478,28 @@ def test_bpe_of_long_words():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
 
 
+def test_bpe_keeps_words_met_again(monkeypatch):
+    """When the store is full, words that are still met are not encoded again."""
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    b, plain, walked = bpe.Bpe(bpe.vocabulary("byte_bpe_50k.json")), bpe.Bpe(bpe.vocabulary("byte_bpe_50k.json")), collections.Counter()
+    walk = b.walk
+    monkeypatch.setattr(b, "walk", lambda ws: walked.update(ws := list(ws)) or walk(ws))
+    for i in range(30):
+        texts = ["often met " + " ".join(f"w{chr(97 + i)}{x}" for x in "abcdefghijklmnopqrst")]
+        assert b.encode(texts) == [b"".join(plain.walk([w])[w] for w in plain.words.findall(texts[0]))]
+    assert walked[" met"] == 1 and len(b.known) + len(b.older) < 200
+
+
+def test_bpe_words_of_usual_texts():
+    """Texts of usual characters are parted as by the tokenizer's own pattern."""
+    b, rng = bpe.Bpe(bpe.vocabulary("byte_bpe_50k.json")), random.Random(9)
+    usual = [chr(c) for c in bpe.USUAL] + list(" \t\n\r\x0b\x0c      " + "'" * 3 + "stdmlver12")
+    for _ in range(3000):
+        t = "".join(rng.choices(usual, k=rng.randint(0, 30)))
+        assert bpe.ODD.search(t) or bpe.WORDS.findall(t) == b.words.findall(t), t
+    assert all(bpe.ODD.search(x) for x in "\x00\x1c\x85\xa0\xad\u0301\u3000日") and bpe.ODD.search("<|")
+
+
 def test_bpe_query(spark):
     got = bpe.round_trip(spark, documents(spark, ODD + [(507, "x")]), bpe.vocabulary("byte_bpe_50k.json")).collect()
     assert len(got) == 9
