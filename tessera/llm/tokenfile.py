@@ -26,19 +26,17 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, vocabulary
+from .bpe import ODD, byte_letters, usual, vocabulary
 from .kit import Scratch, blocks, checked_small, frames, parts_of, table
 
 SPACE = re.compile(r"[\x09-\x0D\x20]+")
@@ -80,10 +78,12 @@ class Mixer:
         return ((b * 40503 + a) * 2654435761 >> 8) & 0x3FFFF
 
     def guess(self, b, a):
-        """After ids b, a: ids predicted by orders 1 and 2, and the context."""
-        g1, g2 = self.last1[a], self.last2[self.key(b, a)]
+        """After ids b, a: ids predicted by orders 1 and 2, the context, and what ``learn``
+        needs of them: the key of b, a and both entries."""
+        k = self.key(b, a)
+        g1, g2 = self.last1[a], self.last2[k]
         p1, p2 = g1 & 0xFFFF, g2 & 0xFFFF
-        return p1, p2, (g2 >> 16) * 8 + (g1 >> 16) * 2 + (p1 == p2)
+        return p1, p2, (g2 >> 16) * 8 + (g1 >> 16) * 2 + (p1 == p2), k, g1, g2
 
     def shares(self, context):
         return self.share0[context], self.mass1[context], self.mass2[context]
@@ -98,21 +98,26 @@ class Mixer:
         return np.repeat(np.arange(1 << 16, dtype=np.int32), self.freq)
 
     def find(self, v, p1, p2, w, m1, m2, symbols):
-        """The id whose interval holds v."""
-        at1, size1 = self.interval(p1, p1, p2, w, m1, m2)
-        at2, size2 = self.interval(p2, p1, p2, w, m1, m2)
-        past1, past2 = at1 + size1, at2 + size2
+        """The id whose interval holds v, and the interval's place and size."""
+        both1, both2 = self.both[p1], self.both[p2]
+        # where both predict the same id, m1 is 0 and the second has all
+        at1, size1 = w * (both1 >> 21) + m2 * (p1 > p2), w * (both1 & 0x1FFFFF) + m1
+        at2, size2 = w * (both2 >> 21) + m1 * (p2 > p1), w * (both2 & 0x1FFFFF) + m2
+        past1, past2 = v >= at1 + size1, v >= at2 + size2
+        low = m1 * past1 + m2 * past2
         # exact, as both are under 2**32; ids of predictions are put right below
-        y = symbols.take(((v - m1 * (v >= past1) - m2 * (v >= past2)) / w).astype(np.int64), mode="clip")
-        y = np.where((v >= at1) & (v < past1), p1, y)
-        return np.where((v >= at2) & (v < past2), p2, y)
-
-    def learn(self, b, a, y, p1, p2, context):
-        for table, k in ((self.last2, self.key(b, a)), (self.last1, a)):
-            now = table[k]
+        y = symbols.take(((v - low) / w).astype(np.int64), mode="clip")
+        both = self.both[y]
+        at, size = w * (both >> 21) + low, w * (both & 0x1FFFFF)
+        for p, its_at, its_size, past in ((p1, at1, size1, past1), (p2, at2, size2, past2)):
+            hit = np.flatnonzero((v >= its_at) > past)
+            y[hit], at[hit], size[hit] = p[hit], its_at[hit], its_size[hit]
+        return y, at, size
+
+    def learn(self, a, y, p1, p2, context, k, g1, g2):
+        for table, at, now, p in ((self.last2, k, g2, p2), (self.last1, a, g1, p1)):
             sure = now >> 16
-            hit = now & 0xFFFF == y
-            table[k] = np.where(hit, y | np.minimum(sure + 1, 3) << 16, np.where(sure > 0, now - (1 << 16), y))
+            table[at] = np.where(p == y, y | np.minimum(sure + 1, 3) << 16, np.where(sure > 0, now - (1 << 16), y))
         which = np.where(y == p2, 2, np.where(y == p1, 1, 0))
         self.right += np.bincount(context * 3 + which, minlength=96).reshape(32, 3)
         self.count += np.bincount(y, minlength=1 << 16)
@@ -193,11 +198,11 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
     m, c = Mixer(), Coder(lanes)
     for t, e in steps(width):
         b, a, y = x[t:e].astype(np.int64), x[t + 1 : e + 1], x[t + 2 : e + 2]
-        p1, p2, context = m.guess(b, a)
+        p1, p2, context, *rest = m.guess(b, a)
         at, size = m.interval(y, p1, p2, *m.shares(context))
         for j in range(e - t):
             c.narrow(at[j], size[j])
-        m.learn(b.ravel(), a.ravel(), y.ravel(), p1.ravel(), p2.ravel(), context.ravel())
+        m.learn(*(z.ravel() for z in (a, y, p1, p2, context, *rest)))
     words = c.close()
     return lanes, c.pos.astype("<u2").tobytes() + b"".join(words[: c.pos[i], i].astype("<u2").tobytes() for i in range(lanes))
 
@@ -213,13 +218,11 @@ def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
     for t, e in steps(width):
         symbols, seen = m.symbols(), []
         for j in range(t, e):
-            p1, p2, context = m.guess(x[j].astype(np.int64), x[j + 1])
-            seen.append((p1, p2, context))
-            shares = m.shares(context)
-            x[j + 2] = y = m.find(c.seek(), p1, p2, *shares, symbols)
-            c.narrow(*m.interval(y, p1, p2, *shares))
-        p1, p2, context = (np.concatenate(z) for z in zip(*seen))
-        m.learn(x[t:e].astype(np.int64).ravel(), x[t + 1 : e + 1].ravel(), x[t + 2 : e + 2].ravel(), p1, p2, context)
+            p1, p2, context, *rest = m.guess(x[j].astype(np.int64), x[j + 1])
+            seen.append((p1, p2, context, *rest))
+            x[j + 2], at, size = m.find(c.seek(), p1, p2, *m.shares(context), symbols)
+            c.narrow(at, size)
+        m.learn(x[t + 1 : e + 1].ravel(), x[t + 2 : e + 2].ravel(), *(np.concatenate(z) for z in zip(*seen)))
     return x[2:].T.ravel()[:n]
 
 
@@ -242,18 +245,19 @@ def unpack(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += HEAD.size + size + 1
 
 
-# characters that every version of Unicode classes alike: ASCII, Latin, dashes and quotes
-USUAL = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028)]
-ODD = re.compile(f"[^\\x09-\\x0D\\x20{''.join(re.escape(chr(c)) for c in USUAL)}]|<\\|")  # <| may open a special token
+#: fixed value: what the tokenizer takes as one piece, within the usual characters
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{usual('L')}]+|[{usual('N')}]|[^\\s{usual('L')}{usual('N')}]+")
 
 
-def _class(kind: str) -> str:
-    # lower-casing U+0130 leaves U+0307
-    return "".join(re.escape(chr(c)) for c in [*USUAL, 0x307] if unicodedata.category(chr(c)).startswith(kind))
+class Known(dict):
+    """What ``of`` gives, asked once for each key."""
 
+    def __init__(self, of):
+        self.of = of
 
-#: fixed value: what the tokenizer takes as one piece, within the usual characters
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+    def __missing__(self, key):
+        self[key] = got = self.of(key)
+        return got
 
 
 class Encoder:
@@ -274,7 +278,7 @@ class Encoder:
         if max(self.t.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids of over 16 bits")
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.ids)
         self.most = most  # pieces known at once, some 160 bytes each
 
     def ids(self, piece: str) -> bytes:
@@ -300,10 +304,7 @@ class Encoder:
         parts = [self.pieces(x) for x in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        for p in set(chain.from_iterable(parts)).difference(known):
-            known[p] = self.ids(p)
-        return [b"".join([known[x] for x in p]) for p in parts]
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @lru_cache(2)

@@ -517,6 +517,20 @@ def test_range_coder(n):
         list(tokenfile.unpack(block[:-1] + bytes([block[-1] ^ 1])))
 
 
+def test_range_coder_finds_intervals():
+    """An id is found with its interval, so that none is computed again."""
+    rng = np.random.default_rng(6)
+    m, x = tokenfile.Mixer(), rng.integers(0, 40, (60, 50)).astype(np.int32)
+    for j in range(58):
+        p1, p2, context, *rest = m.guess(x[j].astype(np.int64), x[j + 1])
+        shares = m.shares(context)
+        for y in (x[j + 2], p1, p2, rng.integers(0, 1 << 16, 50)):
+            at, size = m.interval(y, p1, p2, *shares)
+            for v in (at, at + size - 1):
+                assert all((a == b).all() for a, b in zip(m.find(v, p1, p2, *shares, m.symbols()), (y, at, size)))
+        m.learn(x[j + 1], x[j + 2], p1, p2, context, *rest)
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
