@@ -69,10 +69,10 @@ class Chunk:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.base, at, "right") - 1
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and gram hashes, ascending by place."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, hashes of grams and of surroundings (see ``around``), ascending by place."""
         n = len(self.data)
-        out, hs = [], []
+        out, hs, keys = [], [], []
         # pieces of whole texts, so that a very long text alone is large
         cut = [0]
         for d in range(len(self.lens)):
@@ -85,7 +85,8 @@ class Chunk:
                 continue
             x = BYTE[self.data[lo:hi]]
             p = np.concatenate([[U(0)], np.cumsum(x * powers(hi - lo))])
-            h = mix((p[GRAM:] - p[:-GRAM]) * inverse_powers(hi - lo - GRAM + 1)) | U(1)
+            inverse = inverse_powers(hi - lo)
+            h = mix((p[GRAM:] - p[:-GRAM]) * inverse[: hi - lo - GRAM + 1]) | U(1)
             least = slide(h, REACH + 1, np.minimum)  # by window
             ends = self.base[(self.base > lo) & (self.base < hi)] - lo
             for e in ends:  # windows over an end are none
@@ -95,13 +96,20 @@ class Chunk:
             at = np.flatnonzero(h == best)
             out.append(at + lo)
             hs.append(h[at])
-        return (np.concatenate(out), np.concatenate(hs)) if out else (np.zeros(0, np.int64), np.zeros(0, U))
+            left, right = self.reach(at + lo)
+            bytes_ = (p[at + right] - p[at - left]) * inverse[at - left]
+            keys.append(mix(mix(bytes_) + (left << 8 | right).astype(U)))
+        return (np.concatenate(out), np.concatenate(hs), np.concatenate(keys)) if out else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
+
+    def reach(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the text within reach before and after anchors."""
+        d = self.doc(at)
+        return np.minimum(at - self.base[d], REACH), np.minimum(self.base[d + 1] - at, SPAN)
 
     def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes within reach of anchors (REACH before, SPAN after), and how many
         before and after belong to the text; others are 0."""
-        d = self.doc(at)
-        left, right = np.minimum(at - self.base[d], REACH), np.minimum(self.base[d + 1] - at, SPAN)
+        left, right = self.reach(at)
         j = np.arange(-REACH, SPAN)
         idx = np.clip(at[:, None] + j, 0, len(self.data) - 1)
         ctx = np.where((j >= -left[:, None]) & (j < right[:, None]), self.data[idx], 0).astype(np.uint8)
@@ -140,15 +148,8 @@ def chunks(batches):
         yield row()
 
 
-def same_as_before(c: Chunk, at: np.ndarray) -> np.ndarray:
-    """Which of these anchors have the surroundings of an earlier one of the chunk."""
-    key = np.zeros(len(at), U)
-    for i in range(0, len(at), 20_000):
-        ctx, left, right = c.around(at[i : i + 20_000])
-        k = left.astype(U) << U(8) | right.astype(U)
-        for j in range(ctx.shape[1]):
-            k = k * BASE + BYTE[ctx[:, j]]
-        key[i : i + 20_000] = mix(k)
+def same_as_before(c: Chunk, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of these anchors have the surroundings (hashed in key) of an earlier one of the chunk."""
     did = c.ids[c.doc(at)] if len(at) else np.zeros(0, np.int64)
     order = np.lexsort((at, did, key))
     out = np.zeros(len(at), bool)
@@ -168,8 +169,8 @@ def _emit(parts: int):
         for pdf in batches:
             for row in pdf.itertuples():
                 c = Chunk(row)
-                at, h = c.anchors()
-                twin = same_as_before(c, at)
+                at, h, key = c.anchors()
+                twin = same_as_before(c, at, key)
                 own, at, h = at[twin], at[~twin], h[~twin]
                 to = (mix(h) % U(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
@@ -230,12 +231,35 @@ def _contexts(parts: int):
 def suffix_sort(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``text`` (row i has ``lens[i]`` bytes) and the common
     extension of each with the one before it in that order; both are held against
-    the bytes."""
+    the bytes.  Of rows whose hash is that of another, one is sorted."""
+    lens = lens.astype(np.int64)
+    h = np.zeros(len(text), U)
+    for j in range(text.shape[1]):
+        h = h * BASE + BYTE[text[:, j]]
+    by = np.lexsort((lens, h))
+    new = np.ones(len(by), bool)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (lens[by][1:] != lens[by][:-1])
+    one = by[new]  # the first of each, as lexsort is stable
+    place = np.empty(len(one), np.int64)
+    place[merge_sort(text[one], lens[one])] = np.arange(len(one))
+    order = by[np.argsort(place[np.cumsum(new) - 1], kind="stable")]
+    lcp, right = extensions(text, lens, order)
+    if not right:  # a hash stood for two strings
+        rows = np.column_stack([text, lens.astype(np.uint8)])
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+        lcp, _ = extensions(text, lens, order)
+    return order, lcp
+
+
+def merge_sort(text: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Order of distinct rows by prefix hashes; wrong, but a permutation, if a hash stands for two strings."""
     m, w = text.shape
     h = np.zeros((w + 1, m), U)
     for j in range(w):
         h[j + 1] = h[j] * BASE + BYTE[text[:, j]]
-    lens = lens.astype(np.int64)
+    key = np.zeros(m, U)  # the first eight bytes, which settle most comparisons
+    for j in range(8):
+        key = key << U(8) | (np.where(j < lens, text[:, j], 0).astype(U) if j < w else U(0))
 
     def common(a, b):
         lo, hi = np.zeros(len(a), np.int64), np.minimum(lens[a], lens[b])
@@ -246,6 +270,12 @@ def suffix_sort(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
         return lo
 
     def less(a, b, or_equal):
+        x, y = key[a], key[b]
+        out, tie = x < y, np.flatnonzero(x == y)
+        out[tie] = less_by_hash(a[tie], b[tie], or_equal)
+        return out
+
+    def less_by_hash(a, b, or_equal):
         k = common(a, b)
         ea, eb = k == lens[a], k == lens[b]
         at = np.minimum(k, w - 1)
@@ -276,12 +306,7 @@ def suffix_sort(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
         new = order.copy()  # wrong hashes may leave places open
         new[place] = order
         order, run = new, 2 * run
-    lcp, right = extensions(text, lens, order)
-    if not right or (np.bincount(order, minlength=m) != 1).any():  # a hash stood for two strings
-        rows = np.column_stack([text, lens.astype(np.uint8)])
-        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
-        lcp, _ = extensions(text, lens, order)
-    return order, lcp
+    return order if (np.bincount(order, minlength=m) == 1).all() else np.arange(m)
 
 
 def extensions(text: np.ndarray, lens: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, bool]:

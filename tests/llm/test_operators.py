@@ -116,6 +116,32 @@ def test_suffix_sort():
     assert lcp[1:].tolist() == [common(a, b) for a, b in zip(rows, rows[1:])]
 
 
+def test_suffix_sorts_copies_once(monkeypatch):
+    """Equal suffixes are told by one hash; only one of them is compared with others."""
+    rng, sorted_ = np.random.default_rng(3), []
+    some, sort = rng.integers(97, 99, (40, 100)).astype(np.uint8), suffix.merge_sort
+    text = some[rng.integers(0, 40, 900)]
+    monkeypatch.setattr(suffix, "merge_sort", lambda text, lens: sorted_.append(len(text)) or sort(text, lens))
+    order, _ = suffix.suffix_sort(text, np.full(900, 100))
+    rows = [text[i].tobytes() for i in order]
+    assert rows == sorted(rows) and sorted(order) == list(range(900)) and sum(sorted_) <= 40
+
+
+def test_suffix_hashes_surroundings():
+    """The hash that comes with an anchor tells surroundings apart as their bytes do."""
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdef ") for _ in range(700))
+    texts = [part, "x" + part[5:], part[:650], part + part, "y" * 99, "", part]
+    raw = [t.encode() for t in texts]
+    c = suffix.Chunk(pd.Series({"ids": np.arange(7).tobytes(), "lens": np.array([len(x) for x in raw]).tobytes(), "data": b"".join(raw)}))
+    at, _, key = c.anchors()
+    names = [tuple(x.tobytes() for x in row) for row in zip(*c.around(at))]
+    assert len(set(names)) < len(names) and len(set(zip(names, key.tolist()))) == len(set(names)) == len(set(key.tolist()))
+    first = set()
+    want = [not (x not in first and not first.add(x)) for x in names]
+    assert suffix.same_as_before(c, at, key).tolist() == want
+
+
 def removed_in_process(texts, parts=3):
     """The steps of suffix.repeats without Spark."""
     pdf = pd.DataFrame({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts]})
