@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,11 +37,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ODD, byte_letters, usual, vocabulary
+from .bpe import LONG, ODD, byte_letters, usual, vocabulary
 from .kit import Scratch, blocks, checked_small, frames, parts_of, table
 
-SPACE = re.compile(r"[\x09-\x0D\x20]+")
-
 HEAD = struct.Struct("<4s5I")
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4"), ("more", "u1")])
 IDS, LANES, STEP = 1 << 20, 4096, 32
@@ -51,6 +50,11 @@ BITS, WORD = 48, 16  # of a coder's state and of what it puts out
 LEAST, MASK = 1 << BITS - WORD, (1 << BITS) - 1
 
 
+def pick(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` for places that it has; numpy is twice as quick where it need not raise."""
+    return table.take(at, mode="clip")
+
+
 class Mixer:
     """The models of one block and their mixture, the same for writer and reader.
     A prediction's table holds id + (confidence << 16)."""
@@ -65,33 +69,40 @@ class Mixer:
         free = (1 << SHIFT0) - (1 << 16)
         freq = 1 + self.count * free // max(1, self.count.sum())
         freq[freq.argmax()] += (1 << SHIFT0) - freq.sum()
-        self.freq = freq
-        self.both = (np.cumsum(freq) - freq) << 21 | freq  # place and size in one
+        self.freq, self.place = freq.astype(np.int32), (np.cumsum(freq) - freq).astype(np.int32)
         share = self.right * (SHARES - 3) // self.right.sum(1, keepdims=True) + 1
         share[1::2, 2] += share[1::2, 1]  # both predict the same id
         share[1::2, 1] = 0
+        share = share.astype(np.int32)
         self.mass1, self.mass2 = share[:, 1] << SHIFT0, share[:, 2] << SHIFT0
         self.share0 = SHARES - share[:, 1] - share[:, 2]
 
     @staticmethod
     def key(b, a):
-        return ((b * 40503 + a) * 2654435761 >> 8) & 0x3FFFF
+        # of products, 26 bits count, so those of 32 do
+        return (((b.astype(np.uint32) * 40503 + a.astype(np.uint32)) * 2654435761 >> 8) & 0x3FFFF).astype(np.intp)
 
     def guess(self, b, a):
         """After ids b, a: ids predicted by orders 1 and 2, the context, and what ``learn``
         needs of them: the key of b, a and both entries."""
         k = self.key(b, a)
-        g1, g2 = self.last1[a], self.last2[k]
+        g1, g2 = pick(self.last1, a.astype(np.intp)), pick(self.last2, k)
         p1, p2 = g1 & 0xFFFF, g2 & 0xFFFF
         return p1, p2, (g2 >> 16) * 8 + (g1 >> 16) * 2 + (p1 == p2), k, g1, g2
 
     def shares(self, context):
-        return self.share0[context], self.mass1[context], self.mass2[context]
+        context = context.astype(np.intp)
+        return pick(self.share0, context), pick(self.mass1, context), pick(self.mass2, context)
+
+    def span(self, y, w):
+        """Place and size of id y in the order-0 part of the mixture."""
+        y = y.astype(np.intp)
+        return w * pick(self.place, y), w * pick(self.freq, y)
 
     def interval(self, y, p1, p2, w, m1, m2):
-        """Place and size of id y in the mixture's cumulative distribution."""
-        both = self.both[y]
-        return w * (both >> 21) + m1 * (y > p1) + m2 * (y > p2), w * (both & 0x1FFFFF) + m1 * (y == p1) + m2 * (y == p2)
+        """Place and size of id y in the mixture's cumulative distribution; all are under 2**31."""
+        at, size = self.span(y, w)
+        return at + m1 * (y > p1) + m2 * (y > p2), size + m1 * (y == p1) + m2 * (y == p2)
 
     def symbols(self):
         """Id by place in the order-0 distribution."""
@@ -99,45 +110,59 @@ class Mixer:
 
     def find(self, v, p1, p2, w, m1, m2, symbols):
         """The id whose interval holds v, and the interval's place and size."""
-        both1, both2 = self.both[p1], self.both[p2]
         # where both predict the same id, m1 is 0 and the second has all
-        at1, size1 = w * (both1 >> 21) + m2 * (p1 > p2), w * (both1 & 0x1FFFFF) + m1
-        at2, size2 = w * (both2 >> 21) + m1 * (p2 > p1), w * (both2 & 0x1FFFFF) + m2
-        past1, past2 = v >= at1 + size1, v >= at2 + size2
+        (at1, size1), (at2, size2) = self.span(p1, w), self.span(p2, w)
+        at1 += m2 * (p1 > p2)
+        at2 += m1 * (p2 > p1)
+        past1, past2 = v >= at1 + size1 + m1, v >= at2 + size2 + m2
+        hit1, hit2 = (v >= at1) > past1, (v >= at2) > past2
         low = m1 * past1 + m2 * past2
         # exact, as both are under 2**32; ids of predictions are put right below
-        y = symbols.take(((v - low) / w).astype(np.int64), mode="clip")
-        both = self.both[y]
-        at, size = w * (both >> 21) + low, w * (both & 0x1FFFFF)
-        for p, its_at, its_size, past in ((p1, at1, size1, past1), (p2, at2, size2, past2)):
-            hit = np.flatnonzero((v >= its_at) > past)
-            y[hit], at[hit], size[hit] = p[hit], its_at[hit], its_size[hit]
+        y = pick(symbols, ((v - low) / w).astype(np.intp))
+        y += (p1 - y) * hit1  # choices by masks take longer than sums
+        y += (p2 - y) * hit2
+        at, size = self.span(y, w)
+        at += low
+        size += m1 * hit1 + m2 * hit2
         return y, at, size
 
     def learn(self, a, y, p1, p2, context, k, g1, g2):
-        for table, at, now, p in ((self.last2, k, g2, p2), (self.last1, a, g1, p1)):
+        right1, right2 = p1 == y, p2 == y
+        for table, at, now, right in ((self.last2, k, g2, right2), (self.last1, a, g1, right1)):
             sure = now >> 16
-            table[at] = np.where(p == y, y | np.minimum(sure + 1, 3) << 16, np.where(sure > 0, now - (1 << 16), y))
-        which = np.where(y == p2, 2, np.where(y == p1, 1, 0))
-        self.right += np.bincount(context * 3 + which, minlength=96).reshape(32, 3)
+            # right: surer, up to 3; wrong: less sure, or replaced
+            up, down, new = right & (sure < 3), right < (sure > 0), right < (sure == 0)
+            table[at] = now + ((up.view(np.int8) - down.view(np.int8)).astype(np.int32) << 16) + (y - now) * new
+        seen = np.bincount(context * 4 + right2 * np.int32(2) + right1, minlength=128).reshape(32, 4)
+        self.right += seen[:, :3]
+        self.right[:, 2] += seen[:, 3]
         self.count += np.bincount(y, minlength=1 << 16)
         self.refresh()
 
 
 class Coder:
     """Range coders in step: each lane has an interval of at most 2**48 and puts
-    out words of 16 bits.  The writer's carries are added to words put out before
-    and settled at the end."""
+    out words of 16 bits, into rows of a word a lane.  The writer's carries are added
+    to words put out before and settled at the end."""
 
     def __init__(self, lanes: int, words: np.ndarray | None = None):
-        self.range, self.pos, self.rows = np.full(lanes, MASK), np.zeros(lanes, np.int64), np.arange(lanes)
+        self.lanes, self.range, self.at = lanes, np.full(lanes, MASK), np.arange(lanes)  # at: place in words
         self.low = np.zeros(lanes, np.int64)  # the reader's: code less low
-        self.words = np.zeros((64, lanes), np.int64) if words is None else words
+        self.words = np.zeros(64 * lanes, np.int64) if words is None else words.ravel()
         self.writes = words is None
         if not self.writes:
             for _ in range(BITS // WORD):
-                self.low = self.low << WORD | self.words[self.pos, self.rows]
-                self.pos += 1
+                self.low = self.low << WORD | pick(self.words, self.at)
+                self.at += lanes
+
+    @property
+    def pos(self) -> np.ndarray:
+        """Words of each lane so far."""
+        return self.at // self.lanes
+
+    def grow(self, at):
+        if at.max() + self.lanes >= len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
 
     def narrow(self, at, size):
         """To the interval from ``at`` of 2**TOTAL, of ``size``."""
@@ -145,38 +170,39 @@ class Coder:
         if self.writes:
             self.low += unit * at
             over = np.flatnonzero(self.low > MASK)
-            self.words[self.pos[over] - 1, over] += 1
+            self.words[pick(self.at, over) - self.lanes] += 1
             self.low[over] &= MASK
         else:
             self.low -= unit * at
         self.range = unit * size
-        while len(few := np.flatnonzero(self.range < LEAST)):
-            pos, low = self.pos[few], self.low[few]
+        few = np.flatnonzero(self.range < LEAST)
+        while len(few):
+            to, low = pick(self.at, few), pick(self.low, few)
             if self.writes:
-                if pos.max() + 2 > len(self.words):
-                    self.words = np.vstack([self.words, np.zeros_like(self.words)])
-                self.words[pos, few] = low >> BITS - WORD
+                self.grow(to)
+                self.words[to] = low >> BITS - WORD
                 self.low[few] = low << WORD & MASK
             else:
-                self.low[few] = low << WORD | self.words[pos, few]
-            self.pos[few] = pos + 1
-            self.range[few] <<= WORD
+                self.low[few] = low << WORD | pick(self.words, to)
+            self.at[few] = to + self.lanes
+            self.range[few] = wide = pick(self.range, few) << WORD
+            few = few[wide < LEAST]
 
     def seek(self):
         """Where in 2**TOTAL each lane's code lies; exact, as both numbers are under 2**49."""
-        return np.minimum(self.low / (self.range >> TOTAL), (1 << TOTAL) - 1).astype(np.int64)
+        return np.minimum((self.low / (self.range >> TOTAL)).astype(np.int32), (1 << TOTAL) - 1)
 
     def close(self) -> np.ndarray:
         """Words by place and lane; the reader takes those past a lane's end as zeros."""
-        if self.pos.max() + 2 > len(self.words):
-            self.words = np.vstack([self.words, np.zeros_like(self.words)])
+        self.grow(self.at)
         # one word more picks the only multiple of 2**32 that the interval must hold
-        self.words[self.pos, self.rows] = (self.low + LEAST - 1) >> BITS - WORD
-        self.pos += 1
-        for i in range(len(self.words) - 1, 0, -1):
-            self.words[i - 1] += self.words[i] >> WORD
-            self.words[i] &= (1 << WORD) - 1
-        return self.words
+        self.words[self.at] = (self.low + LEAST - 1) >> BITS - WORD
+        self.at += self.lanes
+        words = self.words.reshape(-1, self.lanes)[: self.pos.max()]
+        for i in range(len(words) - 1, 0, -1):
+            words[i - 1] += words[i] >> WORD
+            words[i] &= (1 << WORD) - 1
+        return words
 
 
 def steps(width: int):
@@ -197,14 +223,14 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
     x[2:] = full.reshape(lanes, width).T
     m, c = Mixer(), Coder(lanes)
     for t, e in steps(width):
-        b, a, y = x[t:e].astype(np.int64), x[t + 1 : e + 1], x[t + 2 : e + 2]
+        b, a, y = x[t:e], x[t + 1 : e + 1], x[t + 2 : e + 2]
         p1, p2, context, *rest = m.guess(b, a)
         at, size = m.interval(y, p1, p2, *m.shares(context))
         for j in range(e - t):
             c.narrow(at[j], size[j])
         m.learn(*(z.ravel() for z in (a, y, p1, p2, context, *rest)))
-    words = c.close()
-    return lanes, c.pos.astype("<u2").tobytes() + b"".join(words[: c.pos[i], i].astype("<u2").tobytes() for i in range(lanes))
+    words = c.close().astype("<u2").T
+    return lanes, c.pos.astype("<u2").tobytes() + words[np.arange(words.shape[1]) < c.pos[:, None]].tobytes()
 
 
 def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
@@ -218,7 +244,7 @@ def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
     for t, e in steps(width):
         symbols, seen = m.symbols(), []
         for j in range(t, e):
-            p1, p2, context, *rest = m.guess(x[j].astype(np.int64), x[j + 1])
+            p1, p2, context, *rest = m.guess(x[j], x[j + 1])
             seen.append((p1, p2, context, *rest))
             x[j + 2], at, size = m.find(c.seek(), p1, p2, *m.shares(context), symbols)
             c.narrow(at, size)
@@ -245,29 +271,58 @@ def unpack(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += HEAD.size + size + 1
 
 
+#: The letter of each byte.
+LETTERS = "".join(sorted(byte_letters(), key=byte_letters().get))
+
 #: fixed value: what the tokenizer takes as one piece, within the usual characters
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{usual('L')}]+|[{usual('N')}]|[^\\s{usual('L')}{usual('N')}]+")
 
 
 class Known(dict):
-    """What ``of`` gives, asked once for each key."""
+    """What ``of`` gives, asked once for each key of up to ``LONG`` bytes; what ``older`` holds is taken over when met."""
 
-    def __init__(self, of):
-        self.of = of
+    def __init__(self, of, older):
+        self.of, self.older = of, older
 
     def __missing__(self, key):
-        self[key] = got = self.of(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.of(key)
+        if len(key) <= LONG:
+            self[key] = got
         return got
 
 
+#: What a byte of UTF-8 is: a comma for ASCII's marks, ``o`` for what may begin other characters than those of U+00C0 to U+023F
+KINDS = bytes(0x20 if chr(c).isalnum() or c in b"\t\n\v\f\r " else 0x2C for c in range(128)) + bytes(0x20 if c < 0xC0 or 0xC3 <= c <= 0xC8 else 0x6F for c in range(128, 256))
+
+
+#: Marks among those letters, and the capital whose small letter ends in one
+AMONG = ["×".encode(), "÷".encode(), "İ".encode()]
+
+
+def words(text: str) -> list[bytes]:
+    """Texts parted at ASCII's white space (bytes split at no other), and at commas and full stops if no mark
+    adjoins another, so that each is a piece.  ASCII's capitals are made small, unless special tokens or capitals
+    with combining marks may be there."""
+    raw = text.encode()
+    kinds = raw.translate(KINDS)
+    if b"o" in kinds or b"<|" in raw:
+        return raw.split()
+    if b",," in kinds or any(x in raw for x in AMONG):
+        return raw.lower().split()
+    return raw.lower().replace(b",", b" , ").replace(b".", b" . ").split()
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct piece.  The tokenizer
     lower-cases, parts texts into pieces, drops white space, and joins nothing over
-    the ends of pieces; so pieces go to its model one by one.  Words with other
+    the ends of pieces; so texts are split at white space, and only words not met
+    before are parted, their pieces going to its model one by one.  Words with other
     characters than the usual ones, or with what may be a special token, go to the
-    tokenizer whole; they are known by a space and themselves."""
+    tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 330_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -277,34 +332,29 @@ class Encoder:
         self.model = self.t.model
         if max(self.t.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids of over 16 bits")
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.known = Known(self.ids)
-        self.most = most  # pieces known at once, some 160 bytes each
-
-    def ids(self, piece: str) -> bytes:
-        if piece[0] == " ":
-            return array("H", self.t.encode(piece[1:], add_special_tokens=False).ids).tobytes()
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return array("H", [x.id for x in self.model.tokenize(piece)]).tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        if not ODD.search(text):
-            return PIECE.findall(text.lower())
-        out = []
-        for w in SPACE.split(text):
-            if ODD.search(w):
-                out.append(" " + w)
-            else:
-                out += PIECE.findall(w.lower())
-        return out
+        self.known = Known(self.ids, {})
+        self.most = most  # words of each of two generations, some 200 bytes each
+
+    def ids(self, word: bytes) -> bytes:
+        w = word.decode()
+        low = w.lower()
+        if low.isalpha() and b"o" not in word.translate(KINDS):  # letters alone are one piece
+            return self.piece(low)
+        if ODD.search(w) or ODD.search(low):
+            return array("H", self.t.encode(w, add_special_tokens=False).ids).tobytes()
+        pieces = PIECE.findall(low)
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self.known[p.encode()] for p in pieces])
+
+    def piece(self, piece: str) -> bytes:
+        return array("H", [x.id for x in self.model.tokenize(charmap_decode(piece.encode(), "strict", LETTERS)[0])]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """16-bit ids per text."""
-        parts = [self.pieces(x) for x in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self.known) > self.most:  # words that are met again stay
+            self.known.older = {}
+            self.known = Known(self.ids, self.known)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words(x))) for x in texts]
 
 
 @lru_cache(2)

@@ -557,6 +557,30 @@ def test_range_coder_finds_intervals():
         m.learn(x[j + 1], x[j + 2], p1, p2, context, *rest)
 
 
+def test_token_encoder_parts_words_once(monkeypatch):
+    """Words met again are neither parted nor put to the tokenizer, in a full store too, with or without lone marks."""
+    e = tokenfile.Encoder(bpe.vocabulary("word_bpe_49k.json"), 20)
+    t = ["It's 3.5 été, the end. <|endoftext|> 日本 of it!! <|", "one, two. three", " ".join(words(50, 4))]
+    want = e.encode(t)
+    monkeypatch.setattr(tokenfile, "PIECE", None)
+    monkeypatch.setattr(e, "t", None)
+    monkeypatch.setattr(e, "model", None)
+    assert e.encode(t) == want
+    assert not [w for w in e.known if len(w) > bpe.LONG]
+
+
+def test_token_encoder_as_library():
+    """Ids are the library's for any characters, capitals whose small letters are unusual among them."""
+    e, rng = tokenfile.Encoder(bpe.vocabulary("word_bpe_49k.json"), 200), random.Random(11)
+    ascii_, latin, usual = [*map(chr, range(128))], [*map(chr, range(0xC0, 0x250))], [*map(chr, bpe.USUAL)]
+    odd = ["<|endoftext|>", "<|EndOfText|>", "<|", "\x1c", "\x85", "\xa0", "\u0301", "\u0307", "T\u0308", "\u212a", "\u1e9e", "Σ", "日", "'s", ", ", ". ", "x" * 300]
+    texts = ["\u0181ata \u0186", "\u0130.", "T\u0308 H\u0331 ", ",\xd7 .\xf7", "a,.b", "''s", "'ll.", "", " "]
+    for r in range(3000):
+        texts.append("".join(rng.choices((ascii_, latin, usual + odd)[r % 3] + list("       abDE,.,.,."), k=rng.randint(1, 30))))
+    for t, got in zip(texts, e.encode(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == e.t.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
