@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import LONG, ODD, byte_letters, usual, vocabulary
-from .kit import Scratch, blocks, checked_small, frames, parts_of, table
+from .kit import Scratch, blocks, bound_batches, checked_small, frames, parts_of, table
 
 HEAD = struct.Struct("<4s5I")
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4"), ("more", "u1")])
@@ -127,15 +127,17 @@ class Mixer:
         return y, at, size
 
     def learn(self, a, y, p1, p2, context, k, g1, g2):
-        right1, right2 = p1 == y, p2 == y
-        for table, at, now, right in ((self.last2, k, g2, right2), (self.last1, a, g1, right1)):
-            sure = now >> 16
-            # right: surer, up to 3; wrong: less sure, or replaced
-            up, down, new = right & (sure < 3), right < (sure > 0), right < (sure == 0)
-            table[at] = now + ((up.view(np.int8) - down.view(np.int8)).astype(np.int32) << 16) + (y - now) * new
-        seen = np.bincount(context * 4 + right2 * np.int32(2) + right1, minlength=128).reshape(32, 4)
-        self.right += seen[:, :3]
-        self.right[:, 2] += seen[:, 3]
+        for i in range(0, len(y), LANES * 4):  # as much as stays in a cache
+            some = slice(i, i + LANES * 4)
+            right1, right2 = p1[some] == y[some], p2[some] == y[some]
+            for table, at, now, right in ((self.last2, k, g2[some], right2), (self.last1, a, g1[some], right1)):
+                sure = now >> 16
+                # right: surer, up to 3; wrong: less sure, or replaced
+                up, down, new = right & (sure < 3), right < (sure > 0), right < (sure == 0)
+                table[at[some].astype(np.intp)] = now + ((up.view(np.int8) - down.view(np.int8)).astype(np.int32) << 16) + (y[some] - now) * new
+            seen = np.bincount(context[some] * 4 + right2 * np.int32(2) + right1, minlength=128).reshape(32, 4)
+            self.right += seen[:, :3]
+            self.right[:, 2] += seen[:, 3]
         self.count += np.bincount(y, minlength=1 << 16)
         self.refresh()
 
@@ -322,7 +324,7 @@ class Encoder:
     characters than the usual ones, or with what may be a special token, go to the
     tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 330_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -336,17 +338,19 @@ class Encoder:
         self.most = most  # words of each of two generations, some 200 bytes each
 
     def ids(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.piece(word.lower())
         w = word.decode()
         low = w.lower()
         if low.isalpha() and b"o" not in word.translate(KINDS):  # letters alone are one piece
-            return self.piece(low)
+            return self.piece(low.encode())
         if ODD.search(w) or ODD.search(low):
             return array("H", self.t.encode(w, add_special_tokens=False).ids).tobytes()
-        pieces = PIECE.findall(low)
-        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self.known[p.encode()] for p in pieces])
+        pieces = [p.encode() for p in PIECE.findall(low)]
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self.known[p] for p in pieces])
 
-    def piece(self, piece: str) -> bytes:
-        return array("H", [x.id for x in self.model.tokenize(charmap_decode(piece.encode(), "strict", LETTERS)[0])]).tobytes()
+    def piece(self, piece: bytes) -> bytes:
+        return array("H", [x.id for x in self.model.tokenize(charmap_decode(piece, "strict", LETTERS)[0])]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """16-bit ids per text."""
@@ -368,6 +372,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
 def write_tokens(docs: DataFrame, path: str, vocab: str, end: int = 1) -> None:
     """Files of blocks under ``path``, documents in ascending doc_id order."""
+    bound_batches(docs.sparkSession)
     tail = np.array([end], "<u2").tobytes()
 
     def run(batches):
